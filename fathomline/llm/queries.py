@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomline.llm.neardup import op1_query
 from fathomline.llm.packing import op6_query
 from fathomline.llm.sharding import op7_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neardup": op1_query,
     "op6_packing": op6_query,
     "op7_sharding": op7_query,
 }
