@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm.neardup import op1_query
+from fathomline.llm.neighbours import op3_query
 from fathomline.llm.packing import op6_query
 from fathomline.llm.quality import op8_query
 from fathomline.llm.sharding import op7_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_query,
+    "op3_neighbours": op3_query,
     "op6_packing": op6_query,
     "op7_sharding": op7_query,
     "op8_quality": op8_query,
