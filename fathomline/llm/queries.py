@@ -11,6 +11,7 @@ from fathomline.llm.neighbours import op3_query
 from fathomline.llm.packing import op6_query
 from fathomline.llm.quality import op8_query
 from fathomline.llm.sharding import op7_query
+from fathomline.llm.urls import op10_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_query,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_query,
     "op7_sharding": op7_query,
     "op8_quality": op8_query,
+    "op10_urls": op10_query,
 }
 
 ORACLES: dict[str, str] = {}
