@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomline.llm.bytepair import op5_query
 from fathomline.llm.language import op4_query
+from fathomline.llm.lmscore import op2_query
 from fathomline.llm.neardup import op1_query
 from fathomline.llm.neighbours import op3_query
 from fathomline.llm.packing import op6_query
@@ -16,8 +18,10 @@ from fathomline.llm.urls import op10_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_query,
+    "op2_lmscore": op2_query,
     "op3_neighbours": op3_query,
     "op4_language": op4_query,
+    "op5_bytepair": op5_query,
     "op6_packing": op6_query,
     "op7_sharding": op7_query,
     "op8_quality": op8_query,
