@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.llm.bytepair import op5_query
+from fathomline.llm.fixity import OP9_SQL, op9_query
 from fathomline.llm.language import op4_query
 from fathomline.llm.lmscore import op2_query
 from fathomline.llm.neardup import op1_query
@@ -25,7 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_query,
     "op7_sharding": op7_query,
     "op8_quality": op8_query,
+    "op9_fixity": op9_query,
     "op10_urls": op10_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_fixity": OP9_SQL,
+}
