@@ -42,8 +42,8 @@ def rules() -> dict[str, Column]:
         "length": _vote(words < 10, words >= 40),
         "symbols": _vote(symbols > 0.05, symbols < 0.01),
         "word_size": _vote((mean < 2.5) | (mean > 14), (mean >= 3.5) & (mean <= 9)),
-        "lines": _vote(lines > 0.2, (F.col("n_dup_lines") == 0) & (F.col("__lines") >= 2)),
-        "repeats": _vote(repeats > 0.1, repeats < 0.01),
+        "lines": _vote(lines > 0.3, (F.col("n_dup_lines") == 0) & (F.col("__lines") >= 2)),
+        "repeats": _vote(repeats > 0.15, repeats < 0.01),
         "capitals": _vote(capitals > 0.3, capitals < 0.12),
         "letters": _vote(letters < 0.75, letters > 0.9),
         "variety": _vote((kinds < 0.1) & (words >= 20), (kinds > 0.3) & (words >= 20)),
