@@ -7,7 +7,7 @@ depend on its neighbours, so the words that make up most of the corpus are folde
 each; how many those are is bounded by bytes, and every other word is folded where it
 stands, which keeps the result whole without a table of the whole vocabulary anywhere.
 
-Decoding looks every id up in a literal list of pieces and concatenates them.
+Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -25,56 +25,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import settle
+from fathomline.llm.common import byte_runs, settle
 from fathomline.llm.tokens import default_ranks, ranks_of
 
-#: Most words that are folded once for all documents, and their most bytes; about 100 MB in a worker.
-FREQUENT_WORDS, FREQUENT_BYTES = 1 << 19, 1 << 24
+#: Most words that are folded once for all documents, and their most bytes; about 150 MB in a worker.
+FREQUENT_WORDS, FREQUENT_BYTES = 1 << 20, 1 << 24
 #: Words counted in a task before its counts are sent on.
 COUNTED_AT_ONCE = 1 << 19
 WIDTH = 16  # bits of an id
 
 
-def _prime_from(n: int) -> int:
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
-
 @cache
-def rank_map(path: str) -> dict:
-    """The pairs of ids whose bytes together are a token, as a perfect hash.
+def rank_map(path: str) -> tuple[list[int], list[int]]:
+    """The pairs of ids whose bytes together are a token, as (base of each first id, table).
 
-    A pair's key is first * 2^16 + second. Keys fall into lists; every list has a shift that
-    sends its keys to free slots, so a lookup reads one shift and one slot. A slot holds
-    key * 2^16 + rank, or -1.
+    The rows of all first ids are laid over each other in one table, each at its own base,
+    so that no two entries meet: the pair (a, b) is at base[a] + b, and the entry there is
+    a * 2^16 + rank if it is theirs. Large rows take the first place that fits, small ones
+    a place drawn by a fixed seed.
     """
     ranks = ranks_of(path)
     if max(ranks.values()) >= 1 << WIDTH:
         raise ValueError(f"ids of {path} need more than {WIDTH} bits")
-    pairs = {}
+    rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
-                pairs[(a << WIDTH) + b] = rank
-    lists, slots = _prime_from(len(pairs) // 3 + 1), _prime_from(int(len(pairs) * 1.4) + 7)
-    p, q = _prime_from(slots + 1000), _prime_from(slots + 50_000)
-    by_list: dict[int, list[int]] = {}
-    for key in pairs:
-        by_list.setdefault(key % lists, []).append(key)
-    table, shifts = [-1] * slots, [0] * lists
-    for where, keys in sorted(by_list.items(), key=lambda x: -len(x[1])):
-        shift = 0
-        while True:
-            at = [(k % p + shift * (1 + k % q)) % slots for k in keys]
-            if len(set(at)) == len(at) and all(table[s] < 0 for s in at):
-                break
-            shift += 1
-        shifts[where] = shift
-        for k, s in zip(keys, at, strict=True):
-            table[s] = (k << WIDTH) + pairs[k]
-    return {"lists": lists, "slots": slots, "p": p, "q": q, "table": table, "shifts": shifts}
+                rows.setdefault(a, []).append((b, rank))
+    pairs = sum(map(len, rows.values()))
+    size = max(2 * pairs, 1 << 10)
+    table = np.full(size + (1 << WIDTH), -1, np.int64)
+    base = [0] * (max(ranks.values()) + 1)
+    rng, block = np.random.default_rng(1), np.arange(1024)[:, None]
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        seconds, merged_to = (np.array(x, np.int64) for x in zip(*row, strict=True))
+        at = None
+        while at is None:
+            low = 0 if len(row) > 64 else int(rng.integers(0, size))
+            for start in range(low, size, 1024):
+                fits = np.flatnonzero((table[start + block + seconds[None, :]] < 0).all(axis=1)) if start + 1024 <= size else []
+                if len(fits):
+                    at = start + int(fits[0])
+                    break
+        base[a] = at
+        table[at + seconds] = (a << WIDTH) + merged_to
+    return base, table[: int(np.flatnonzero(table >= 0)[-1]) + 1].tolist()
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -89,26 +85,18 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def merged(words: Column, path: str) -> Column:
     """Token ids of each byte array in an array of them."""
-    m = rank_map(path)
-    table, shifts = _literal(m["table"], "bigint"), _literal(m["shifts"], "int")
+    base, table = rank_map(path)
+    base, table = _literal(base, "int"), _literal(table, "bigint")
     bytes_ = _literal([ranks_of(path)[bytes([b])] for b in range(256)], "int")
 
-    def rank(a: Column, b: Column) -> Column:
-        def found(key: Column) -> Column:
-            slot = (key % m["p"] + F.get(shifts, (key % m["lists"]).cast("int")) * (1 + key % m["q"])) % m["slots"]
-            return _let(F.get(table, slot.cast("int")), lambda e: F.when(F.shiftright(e, WIDTH) == key, e.bitwiseAND((1 << WIDTH) - 1).cast("int")))
-
-        return _let(a.cast("bigint") * (1 << WIDTH) + b, found)
-
     def step(parts: Column, _: Column) -> Column:
-        ranks = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: rank(x, F.get(parts, i + 1)))
-
-        def merge(r: Column) -> Column:
-            at = F.array_position(r, F.array_min(r)).cast("int")
-            joined = _let(at, lambda k: F.concat(F.slice(parts, 1, k - 1), F.array(F.array_min(r)), F.slice(parts, k + 2, F.size(parts))))
-            return F.when(F.array_min(r).isNull(), parts).otherwise(joined)
-
-        return _let(ranks, merge)
+        """Merge the first pair of least rank, if any pair has one."""
+        firsts = F.slice(parts, 1, F.size(parts) - 1)
+        entries = F.transform(firsts, lambda x, i: F.get(table, F.get(base, x) + F.get(parts, i + 1)))
+        ranks = F.zip_with(firsts, entries, lambda x, e: F.when(F.shiftright(e, WIDTH) == x, e.bitwiseAND((1 << WIDTH) - 1)))
+        best = lambda r: F.struct(F.array_min(r).cast("int").alias("rank"), F.array_position(r, F.array_min(r)).cast("int").alias("at"))
+        merge = lambda b: F.concat(F.slice(parts, 1, b["at"] - 1), F.array(b["rank"]), F.slice(parts, b["at"] + 2, F.size(parts)))
+        return _let(_let(ranks, best), lambda b: F.when(b["rank"].isNull(), parts).otherwise(merge(b)))
 
     def fold(word: Column) -> Column:
         first = F.transform(word, lambda b: F.get(bytes_, b))
@@ -157,7 +145,7 @@ def frequent(counts: DataFrame, most_words: int, most_bytes: int) -> DataFrame:
 
 
 def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None, most_words: int = FREQUENT_WORDS, most_bytes: int = FREQUENT_BYTES) -> DataFrame:
-    """df without the text, with ids (array<int>): the token ids of each whole text.
+    """df without the text, with ids: each whole text's token ids (binary, unsigned 32-bit little-endian).
 
     A null or empty text has no ids. Special strings are ordinary text. Ties, repeated rows,
     empty tables and other columns (kept, but for one named ids) need nothing special. A
@@ -168,16 +156,15 @@ def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None,
     df = df.drop("ids")
     common = frequent(settle(word_counts(df, text_col)), most_words, most_bytes)
     folded = common.select("word", F.get(merged(F.array(byte_array(F.col("word"))), path), F.lit(0)).alias("ids")).toArrow()  # at most most_words rows
-    spark = df.sparkSession
     name = uuid.uuid4().hex
-    known = spark.sparkContext.broadcast((folded.column("word").combine_chunks(), folded.column("ids").combine_chunks()))
+    known = df.sparkSession.sparkContext.broadcast((folded.column("word").combine_chunks(), folded.column("ids").combine_chunks()))
     others = [c for c in df.columns if c != text_col]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         matches, table = regex.compile(public_tokenizers.PATTERN).findall, _table(name, known)
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in byte_runs(b.column(b.schema.get_field_index(text_col)))):
             runs, rests, per_row, words_in_row = [], [], [0], [0]
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
                 words = matches(text or "")
@@ -191,13 +178,46 @@ def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None,
                 runs.append(b"".join(found[at:]))
                 per_row.append(len(runs))
                 words_in_row.append(len(rests))
-            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in others), _nested(runs, per_row, np.dtype("<i4")), _nested(rests, words_in_row, np.dtype("u1"))], [*others, "__runs", "__rest"])
+            lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), pa.array(runs, pa.binary()))
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in others), lists, _nested(rests, words_in_row)], [*others, "__runs", "__rest"])
 
-    lists = T.ArrayType(T.ArrayType(T.IntegerType()))
-    schema = T.StructType([*(df.schema[c] for c in others), T.StructField("__runs", lists), T.StructField("__rest", lists)])
-    partly = df.mapInArrow(look_up, schema).withColumn("__rest", merged(F.col("__rest"), path))
-    woven = F.flatten(F.transform("__runs", lambda run, i: F.concat(run, F.coalesce(F.get("__rest", i), F.array().cast("array<int>")))))
-    return partly.withColumn("ids", woven).drop("__runs", "__rest")
+    def weave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, rest = (batch.column(batch.schema.get_field_index(c)) for c in ("__runs", "__rest"))
+            pieces, words = runs.flatten().to_pylist(), rest.flatten()
+            flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            cuts = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(int) * 4
+            out, p, w = [], 0, 0
+            for n in runs.value_lengths().to_pylist():
+                mixed = [pieces[p]]
+                for i in range(1, n):
+                    mixed += (flat[cuts[w] : cuts[w + 1]], pieces[p + i])
+                    w += 1
+                out.append(b"".join(mixed))
+                p += n
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(out, pa.binary())], [*others, "ids"])
+
+    kept = [df.schema[c] for c in others]
+    rest = T.StructField("__rest", T.ArrayType(T.ArrayType(T.IntegerType())))
+    partly = df.mapInArrow(look_up, T.StructType([*kept, T.StructField("__runs", T.ArrayType(T.BinaryType())), rest]))
+    partly = partly.withColumn("__rest", merged(F.col("__rest"), path))
+    return partly.mapInArrow(weave, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))
+
+
+def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
+    """df with raw (binary): the pieces of the packed ids, one after the other. Null ids are empty, an unknown id fails."""
+    path = ranks_path or default_ranks()
+    df = df.drop("raw")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = ranks_of(path)
+        pieces = dict(zip(ranks.values(), ranks.keys(), strict=True))
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
+            raw = [b"".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
+            yield batch.append_column("raw", pa.array(raw, pa.binary()))
+
+    return df.mapInArrow(join, T.StructType([*df.schema.fields, T.StructField("raw", T.BinaryType())]))
 
 
 _tables: dict[str, dict[str, bytes]] = {}
@@ -214,29 +234,13 @@ def _table(name: str, known) -> dict[str, bytes]:
     return _tables[name]
 
 
-def _nested(packed: list[bytes], rows: list[int], kind: np.dtype) -> pa.Array:
-    """array<array<int>>: packed integers of each inner list, and where each row's inner lists end."""
-    values = np.frombuffer(b"".join(packed), kind).astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in packed])]) // kind.itemsize
-    inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), inner)
-
-
-def decoded(ids: Column, ranks_path: str | None = None) -> Column:
-    """The bytes (binary) of an array of ids: their pieces, one after the other. An unknown id fails."""
-    ranks = ranks_of(ranks_path or default_ranks())
-    pieces = [""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(_literal(pieces, "string"), i + 1)), ""))
-
-
-def packed(ids: Column) -> Column:
-    """ids as binary, each an unsigned 32-bit little-endian integer; ids have at most 16 bits."""
-    low = _literal([f"{i & 255:02x}{i >> 8:02x}0000" for i in range(1 << WIDTH)], "string")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(low, i + 1)), ""))
+def _nested(words: list[bytes], rows: list[int]) -> pa.Array:
+    """array<array<int>>: the bytes of each word, and where each row's words end."""
+    values = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
-    ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed(F.col("ids")), 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))

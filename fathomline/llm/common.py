@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
+def byte_runs(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(start, stop) of consecutive rows of about `most` bytes of text; a longer text is a run of its own."""
+    offsets = utf8(column)[0]
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def word_spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte spans of all words in order; document d has words first[d] to first[d+1]-1."""
     n = len(data)

@@ -23,13 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import LOWER, SEPARATOR, settle, utf8
+from fathomline.llm.common import LOWER, SEPARATOR, byte_runs, settle, utf8
 from fathomline.llm.urls import CAPITALS, SMALL, host_of
 
 BUCKETS = 1 << 15
 #: Trigram log-likelihoods are divided by this, and at most this many trigrams' worth of evidence counts.
 TEMPER, MOST_EVIDENCE = 4.0, 400.0
-CHUNK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -40,16 +39,6 @@ class Languages:
     accept: float = 0.5  # least posterior
 
 
-def _chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about `most` bytes."""
-    offsets, _ = utf8(column)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-        yield at, to
-        at = to
-
-
 def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every trigram inside a text, first trigram of each text and the end)."""
     offsets, data = utf8(column)
@@ -74,7 +63,7 @@ def trained(df: DataFrame, text_col: str, label_col: str, how: Languages) -> np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(how.known) * BUCKETS, np.int64)
         for batch in batches:
-            for i, j in _chunks(batch.column(0)):
+            for i, j in byte_runs(batch.column(0)):
                 gram, first = _trigrams(batch.column(0).slice(i, j - i))
                 label = np.array([how.known.index(x) for x in batch.column(1).slice(i, j - i).to_pylist()], np.int64)
                 total += np.bincount(gram + np.repeat(label, np.diff(first)) * BUCKETS, minlength=len(total))
@@ -97,7 +86,7 @@ def scored(df: DataFrame, text_col: str, model: np.ndarray, how: Languages) -> D
         weights = model - model.mean(axis=0)
         for batch in batches:
             texts, out = batch.column(batch.schema.get_field_index(text_col)), np.zeros((batch.num_rows, len(how.known)))
-            for i, j in _chunks(texts):
+            for i, j in byte_runs(texts):
                 gram, first = _trigrams(texts.slice(i, j - i))
                 n = np.diff(first)
                 for k in range(len(how.known)):

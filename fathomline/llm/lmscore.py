@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathomline.llm.common import LOWER, runs_of, settle, span_hashes, utf8, word_spans
+from fathomline.llm.common import LOWER, byte_runs, mix, settle, span_hashes, utf8, word_spans
 
 #: Bytes of text in a block of documents (a longer text is a block of its own) and for each partition of the counts.
-BLOCK_BYTES = PARTITION_BYTES = 8 << 20
+BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 8 << 20
 HASH_BITS = 56
+_STEP = np.uint64(0xD1B54A32D192ED03)
 BACKOFF = 0.4
 
 
@@ -32,8 +33,14 @@ def grams_of(column: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray
     offsets, data = utf8(column)
     data = LOWER[data]
     starts, ends, first = word_spans(offsets, data)
-    words = span_hashes(data, starts, ends)
-    return [runs_of(words, first, k)[0] >> np.uint64(64 - HASH_BITS) for k in range(1, order + 1)], np.diff(first)
+    words = np.diff(first)
+    one = span_hashes(data, starts, ends)
+    doc = np.repeat(np.arange(len(words), dtype=np.int32), words)
+    out, run = [one >> np.uint64(64 - HASH_BITS)], one
+    for k in range(1, order):  # each order adds a word to the runs of the one before
+        run = mix(run[:-1] * _STEP + one[k:]) if len(one) > k else one[:0]
+        out.append(run[doc[: len(run)] == doc[k:]] >> np.uint64(64 - HASH_BITS))
+    return out, words
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -48,30 +55,46 @@ def _expand(packed: bytes, n: int) -> np.ndarray:
 
 
 def in_blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(id, text, block): rows of a partition in runs of about block_bytes."""
+    """(block, ids, sizes, texts): a row for each run of about block_bytes of a partition, its texts compressed."""
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
+    def made(block: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts = pa.concat_arrays([r.column(1) for r in rows])
+        offsets, data = utf8(texts)
+        ids = pa.concat_arrays([r.column(0) for r in rows])
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.record_batch([pa.array([block]), whole(ids), whole(pa.array(np.diff(offsets))), pa.array([pa.Codec("zstd", 3).compress(data.tobytes(), asbytes=True)], pa.binary())], ["block", "ids", "sizes", "texts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, rows = TaskContext.get().partitionId() << 32, 0, []
         for batch in batches:
-            sizes = np.diff(utf8(batch.column(1))[0])
-            mine = np.empty(len(sizes), np.int64)
-            for i, n in enumerate(sizes.tolist()):
+            start = 0
+            for i, n in enumerate(np.diff(utf8(batch.column(1))[0]).tolist()):
                 if size and size + n > block_bytes:
-                    block, size = block + 1, 0
+                    yield made(block, [*rows, batch.slice(start, i - start)])
+                    block, size, rows, start = block + 1, 0, [], i
                 size += n
-                mine[i] = block
-            yield pa.record_batch([*batch.columns, pa.array(mine)], ["id", "text", "block"])
+            rows.append(batch.slice(start))
+        if size or rows:
+            yield made(block, rows)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(number, f"id {kind}, text string, block long")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(gather, f"block long, ids array<{kind}>, sizes array<long>, texts binary")
+
+
+def _texts(sizes: np.ndarray, packed: bytes) -> pa.Array:
+    """The texts of a block."""
+    total = int(sizes.sum())
+    data = pa.Codec("zstd").decompress(packed, total) if total else pa.py_buffer(b"")
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), data])
 
 
 def measured(df: DataFrame, text_col: str) -> DataFrame:
     """(bytes, words): sums over parts of the texts."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8(batch.column(0))
+        for column in (b.column(0).slice(i, j - i) for b in batches for i, j in byte_runs(b.column(0))):
+            offsets, data = utf8(column)
             yield pa.record_batch([pa.array([len(data)], pa.int64()), pa.array([len(word_spans(offsets, data)[0])], pa.int64())], ["bytes", "words"])
 
     return df.select(text_col).mapInArrow(measure, "bytes long, words long")
@@ -80,34 +103,22 @@ def measured(df: DataFrame, text_col: str) -> DataFrame:
 def counted(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     """(block, part, n, hashes, counts): the distinct n-grams of each block by partition of their hashes."""
 
-    def flush(block: int, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        grams, _ = grams_of(pa.concat_arrays(texts), order)
-        seen, times = np.unique(np.concatenate(grams), return_counts=True)
+    def table(block: int, texts: pa.Array) -> pa.RecordBatch:
+        seen, times = np.unique(np.concatenate(grams_of(texts, order)[0]), return_counts=True)
         cut = np.searchsorted(seen, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
         parts = np.flatnonzero(np.diff(cut))
         steps = np.diff(seen, prepend=np.uint64(0))
         columns: list[list] = [[], []]
-        for p in parts:
-            a, b = cut[p], cut[p + 1]
+        for a, b in zip(cut[parts], cut[parts + 1], strict=True):
             columns[0].append(_squeeze(np.concatenate([seen[a : a + 1], steps[a + 1 : b]])))
             columns[1].append(_squeeze(times[a:b]))
-        yield pa.record_batch([pa.array(np.full(len(parts), block)), pa.array(parts), pa.array(np.diff(cut)[parts]), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], ["block", "part", "n", "hashes", "counts"])
+        return pa.record_batch([pa.array(np.full(len(parts), block)), pa.array(parts), pa.array(np.diff(cut)[parts]), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], ["block", "part", "n", "hashes", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, texts = None, []
         for batch in batches:
-            mine = batch.column(2).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(mine)) + 1).tolist(), len(mine)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if block is not None and mine[a] != block:
-                    yield from flush(block, texts)
-                    texts = []
-                block = mine[a]
-                texts.append(batch.column(1).slice(a, b - a))
-        if texts:
-            yield from flush(block, texts)
+            for i in range(batch.num_rows):
+                sizes = batch.column("sizes")[i].values.to_numpy()
+                yield table(batch.column("block")[i].as_py(), _texts(sizes, batch.column("texts")[i].as_py()))
 
     return blocks.mapInArrow(count, "block long, part long, n long, hashes binary, counts binary")
 
@@ -127,15 +138,25 @@ def summed(table: DataFrame) -> DataFrame:
     return table.groupBy("part").applyInArrow(add, "block long, part long, n long, totals binary")
 
 
-def _own(seen: np.ndarray, grams: list[np.ndarray], words: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For every n-gram occurrence its place in `seen` and how often its own document holds it."""
-    places, owns = [], []
+def _own(grams: list[np.ndarray], words: np.ndarray, totals: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For every n-gram occurrence its place among the distinct ones and how often its own document holds it.
+
+    An n-gram that occurs once in all documents needs no count.
+    """
+    seen, place = np.unique(np.concatenate(grams), return_inverse=True)
+    if len(seen) != len(totals):
+        raise RuntimeError("a block changed between the counting and the scoring of its n-grams")
+    places, owns, at = [], [], 0
     for k, gram in enumerate(grams):
-        place = np.searchsorted(seen, gram)
+        mine = place[at : at + len(gram)]
+        at += len(gram)
         doc = np.repeat(np.arange(len(words)), np.maximum(words - k, 0))
-        _, back, times = np.unique(doc * len(seen) + place, return_inverse=True, return_counts=True)
-        places.append(place)
-        owns.append(times[back])
+        own = np.ones(len(gram), np.int64)
+        more = np.flatnonzero(totals[mine] > 1)
+        _, back, times = np.unique(doc[more] * len(seen) + mine[more], return_inverse=True, return_counts=True)
+        own[more] = times[back]
+        places.append(mine)
+        owns.append(own)
     return places, owns
 
 
@@ -187,18 +208,16 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     answers = summed(counted(blocks, order, bits))
 
     def score(texts: pa.Table, parts: pa.Table) -> pa.Table:
-        grams, words = grams_of(texts.column("text").combine_chunks(), order)
+        row = {c: texts.column(c).combine_chunks()[0] for c in texts.column_names}
+        grams, words = grams_of(_texts(row["sizes"].values.to_numpy(), row["texts"].as_py()), order)
         rows = sorted(zip(parts.column("part").to_pylist(), parts.column("n").to_pylist(), parts.column("totals").to_pylist(), strict=True))
         totals = np.concatenate([np.zeros(0, np.uint64), *(_expand(t, n) for _, n, t in rows)]).astype(np.int64)
-        seen = np.unique(np.concatenate(grams))
-        if len(seen) != len(totals):
-            raise RuntimeError("a block changed between the counting and the scoring of its n-grams")
-        places, owns = _own(seen, grams, words)
+        places, owns = _own(grams, words, totals)
         logs, used = backoff_logs(totals, places, owns, words, size, alpha)
         doc = np.repeat(np.arange(len(words)), words)
         total = lambda w: np.bincount(doc, w, minlength=len(words))
         hits = [pa.array(total(used == k).astype(np.int64)) for k in range(1, order + 1)]
-        return pa.table([texts.column("id"), pa.array(words.astype(np.int64)), pa.array(total(logs)), *hits], names)
+        return pa.table([row["ids"].values, pa.array(words.astype(np.int64)), pa.array(total(logs)), *hits], names)
 
     names = ["id", "n_words", "log_score", *(f"seen_{k}" for k in range(1, order + 1))]
     fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import LOWER, mix, settle, span_hashes, utf8, word_spans
+from fathomline.llm.common import LOWER, byte_runs, mix, settle, span_hashes, utf8, word_spans
 from fathomline.llm.tokens import default_ranks, fast_encoder
 
 DIMS, BITS = 4, 8
@@ -84,7 +84,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, ranks_path: str, end_id:
         encoder, at = fast_encoder(ranks_path), TaskContext.get().partitionId() << 40
         width = "<u2" if max(encoder.n_vocab, end_id + 1) <= 1 << 16 else "<u4"
         end = np.array([end_id], dtype=width).tobytes()
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in byte_runs(b.column(1))):
             texts = batch.column(1)
             ids = [encoder.encode_to_numpy(t or "", disallowed_special=()).astype(width).tobytes() + end for t in texts.to_pylist()]
             n = np.array([len(x) for x in ids], np.int64) // np.dtype(width).itemsize
