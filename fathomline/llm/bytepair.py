@@ -17,6 +17,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -33,44 +34,64 @@ FREQUENT_WORDS, FREQUENT_BYTES = 1 << 20, 1 << 24
 #: Words counted in a task before its counts are sent on.
 COUNTED_AT_ONCE = 1 << 19
 WIDTH = 16  # bits of an id
+FIRST_BIT, SECOND_BIT = 16, 38  # of a pair's hash
+
+
+class RankMap(NamedTuple):
+    """A perfect hash of pairs (a, b) of ids, which are at (second + shifts[first]) mod the table's size.
+
+    first and second are bits from 16 and from 38 on of (a * factors[0]) xor (b * factors[1]);
+    the entry is a * 2^32 + b * 2^16 + rank if it belongs to the pair, and -1 if to none.
+    """
+
+    factors: tuple[int, int]
+    shifts: list[int]
+    table: list[int]
 
 
 @cache
-def rank_map(path: str) -> tuple[list[int], list[int]]:
-    """The pairs of ids whose bytes together are a token, as (base of each first id, table).
+def rank_map(path: str) -> RankMap:
+    """The pairs of ids whose bytes together are a token, with that token's rank.
 
-    The rows of all first ids are laid over each other in one table, each at its own base,
-    so that no two entries meet: the pair (a, b) is at base[a] + b, and the entry there is
-    a * 2^16 + rank if it is theirs. Large rows take the first place that fits, small ones
-    a place drawn by a fixed seed.
+    Pairs fall into buckets of about four by a first hash; from the largest bucket on, each
+    takes the first shift at which the second hashes of its pairs meet only free places.
+    Two pairs that agree in both hashes call for other factors.
     """
     ranks = ranks_of(path)
     if max(ranks.values()) >= 1 << WIDTH:
         raise ValueError(f"ids of {path} need more than {WIDTH} bits")
-    rows: dict[int, list[tuple[int, int]]] = {}
+    pairs = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
-                rows.setdefault(a, []).append((b, rank))
-    pairs = sum(map(len, rows.values()))
-    size = max(2 * pairs, 1 << 10)
-    table = np.full(size + (1 << WIDTH), -1, np.int64)
-    base = [0] * (max(ranks.values()) + 1)
-    rng, block = np.random.default_rng(1), np.arange(1024)[:, None]
-    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-        seconds, merged_to = (np.array(x, np.int64) for x in zip(*row, strict=True))
-        at = None
-        while at is None:
-            low = 0 if len(row) > 64 else int(rng.integers(0, size))
-            for start in range(low, size, 1024):
-                fits = np.flatnonzero((table[start + block + seconds[None, :]] < 0).all(axis=1)) if start + 1024 <= size else []
-                if len(fits):
-                    at = start + int(fits[0])
-                    break
-        base[a] = at
-        table[at + seconds] = (a << WIDTH) + merged_to
-    return base, table[: int(np.flatnonzero(table >= 0)[-1]) + 1].tolist()
+                pairs[(a << WIDTH) + b] = rank
+    keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+    bits = max(int(len(keys) * 1.5).bit_length(), 4)
+    narrow, size, rng = bits - 2, 1 << bits, np.random.default_rng(1)
+    while True:
+        factors = tuple(int(f) | 1 for f in rng.integers(1 << 45, 1 << 46, 2))
+        mixed = ((keys >> WIDTH) * factors[0]) ^ ((keys & ((1 << WIDTH) - 1)) * factors[1])
+        first, second = (mixed >> FIRST_BIT) & ((1 << narrow) - 1), (mixed >> SECOND_BIT) & (size - 1)
+        if len(np.unique((first << bits) + second)) == len(keys):
+            break
+    by_bucket = np.argsort(first, kind="stable")
+    buckets = np.split(by_bucket, np.flatnonzero(np.diff(first[by_bucket])) + 1) if len(keys) else []
+    table, shifts = np.full(size, -1, np.int64), [0] * (1 << narrow)
+    free, tries = np.ones(size, bool), np.arange(256)[:, None]
+    for bucket in sorted(buckets, key=len, reverse=True):
+        for start in range(0, size, 256):
+            fits = free[(second[bucket] + start + tries) & (size - 1)].all(axis=1)
+            if fits.any():
+                shift = start + int(fits.argmax())
+                break
+        else:
+            raise RuntimeError(f"no place for {len(bucket)} pairs of {path}")
+        at = (second[bucket] + shift) & (size - 1)
+        free[at] = False
+        table[at] = (keys[bucket] << WIDTH) + values[bucket]
+        shifts[int(first[bucket[0]])] = shift
+    return RankMap(factors, shifts, table.tolist())
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -85,15 +106,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def merged(words: Column, path: str) -> Column:
     """Token ids of each byte array in an array of them."""
-    base, table = rank_map(path)
-    base, table = _literal(base, "int"), _literal(table, "bigint")
+    known = rank_map(path)
+    shifts, table = _literal(known.shifts, "int"), _literal(known.table, "bigint")
+    bits = [len(x).bit_length() - 1 for x in (known.shifts, known.table)]
+    part = lambda h, at, n: F.shiftright(h, at).bitwiseAND((1 << n) - 1).cast("int")
+    entry = lambda h: F.get(table, (part(h, SECOND_BIT, bits[1]) + F.get(shifts, part(h, FIRST_BIT, bits[0]))).bitwiseAND((1 << bits[1]) - 1))
+
+    def rank_of(a: Column, b: Column) -> Column:
+        mixed = (a.cast("bigint") * known.factors[0]).bitwiseXOR(b.cast("bigint") * known.factors[1])
+        pair = a.cast("bigint") * (1 << WIDTH) + b
+        return _let(_let(mixed, entry), lambda e: F.when(F.shiftright(e, WIDTH) == pair, e.bitwiseAND((1 << WIDTH) - 1)))
+
     bytes_ = _literal([ranks_of(path)[bytes([b])] for b in range(256)], "int")
 
     def step(parts: Column, _: Column) -> Column:
         """Merge the first pair of least rank, if any pair has one."""
         firsts = F.slice(parts, 1, F.size(parts) - 1)
-        entries = F.transform(firsts, lambda x, i: F.get(table, F.get(base, x) + F.get(parts, i + 1)))
-        ranks = F.zip_with(firsts, entries, lambda x, e: F.when(F.shiftright(e, WIDTH) == x, e.bitwiseAND((1 << WIDTH) - 1)))
+        ranks = F.transform(firsts, lambda x, i: rank_of(x, F.get(parts, i + 1)))
         best = lambda r: F.struct(F.array_min(r).cast("int").alias("rank"), F.array_position(r, F.array_min(r)).cast("int").alias("at"))
         merge = lambda b: F.concat(F.slice(parts, 1, b["at"] - 1), F.array(b["rank"]), F.slice(parts, b["at"] + 2, F.size(parts)))
         return _let(_let(ranks, best), lambda b: F.when(b["rank"].isNull(), parts).otherwise(merge(b)))
