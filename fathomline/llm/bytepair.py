@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 from fathomline.llm.common import byte_runs, settle
 from fathomline.llm.tokens import default_ranks, ranks_of
 
-#: Most words that are folded once for all documents, and their most bytes; about 150 MB in a worker.
-FREQUENT_WORDS, FREQUENT_BYTES = 1 << 20, 1 << 24
+#: Most words that are folded once for all documents, and their most bytes; about 50 MB in a worker.
+FREQUENT_WORDS, FREQUENT_BYTES = 1 << 18, 1 << 22
 #: Words counted in a task before its counts are sent on.
-COUNTED_AT_ONCE = 1 << 19
+COUNTED_AT_ONCE = 1 << 17
 WIDTH = 16  # bits of an id
 FIRST_BIT, SECOND_BIT = 16, 38  # of a pair's hash
 
