@@ -2,10 +2,11 @@
 
 Words are the matches of the tokenizer's pattern. Merging is a fold of Spark's higher-order
 functions over the byte array of a word: each step looks up the ranks of all neighbouring
-pairs in a literal rank map and merges the first pair of least rank. A word's merges do not
-depend on its neighbours, so the words that make up most of the corpus are folded once
-each; how many those are is bounded by bytes, and every other word is folded where it
-stands, which keeps the result whole without a table of the whole vocabulary anywhere.
+pairs in a literal rank map and merges the first pair of least rank, whose neighbours alone
+are looked up again. A word's merges do not depend on its neighbours, so the words that make
+up most of the corpus are folded once each; how many those are is bounded by bytes, and
+every other word is folded where it stands, which keeps the result whole without a table of
+the whole vocabulary anywhere.
 
 Decoding concatenates the binary pieces of the ids.
 """
@@ -35,6 +36,7 @@ FREQUENT_WORDS, FREQUENT_BYTES = 1 << 18, 1 << 22
 COUNTED_AT_ONCE = 1 << 17
 WIDTH = 16  # bits of an id
 FIRST_BIT, SECOND_BIT = 16, 38  # of a pair's hash
+NO_RANK = 1 << WIDTH
 
 
 class RankMap(NamedTuple):
@@ -108,6 +110,7 @@ def merged(words: Column, path: str) -> Column:
     """Token ids of each byte array in an array of them."""
     known = rank_map(path)
     shifts, table = _literal(known.shifts, "int"), _literal(known.table, "bigint")
+    bytes_ = _literal([ranks_of(path)[bytes([b])] for b in range(256)], "int")
     bits = [len(x).bit_length() - 1 for x in (known.shifts, known.table)]
     part = lambda h, at, n: F.shiftright(h, at).bitwiseAND((1 << n) - 1).cast("int")
     entry = lambda h: F.get(table, (part(h, SECOND_BIT, bits[1]) + F.get(shifts, part(h, FIRST_BIT, bits[0]))).bitwiseAND((1 << bits[1]) - 1))
@@ -115,22 +118,30 @@ def merged(words: Column, path: str) -> Column:
     def rank_of(a: Column, b: Column) -> Column:
         mixed = (a.cast("bigint") * known.factors[0]).bitwiseXOR(b.cast("bigint") * known.factors[1])
         pair = a.cast("bigint") * (1 << WIDTH) + b
-        return _let(_let(mixed, entry), lambda e: F.when(F.shiftright(e, WIDTH) == pair, e.bitwiseAND((1 << WIDTH) - 1)))
-
-    bytes_ = _literal([ranks_of(path)[bytes([b])] for b in range(256)], "int")
-
-    def step(parts: Column, _: Column) -> Column:
+        return _let(_let(mixed, entry), lambda e: F.when(F.shiftright(e, WIDTH) == pair, e.bitwiseAND((1 << WIDTH) - 1).cast("int")).otherwise(NO_RANK))
+
+    def merge(state: Column, best: Column, at: Column) -> Column:
+        """Replace the pair at a place by the token of its rank; only the pairs on both sides are looked up again."""
+        parts, ranks = state["parts"], state["ranks"]
+        none = F.array().cast("array<int>")
+        left = F.when(at > 1, F.array(rank_of(F.get(parts, at - 2), best))).otherwise(none)
+        right = F.when(at < F.size(ranks), F.array(rank_of(best, F.get(parts, at + 1)))).otherwise(none)
+        kept = F.slice(ranks, 1, F.greatest(at - 2, F.lit(0)))
+        return F.struct(
+            F.concat(F.slice(parts, 1, at - 1), F.array(best), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+            F.concat(kept, left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
+        )
+
+    def step(state: Column, _: Column) -> Column:
         """Merge the first pair of least rank, if any pair has one."""
-        firsts = F.slice(parts, 1, F.size(parts) - 1)
-        ranks = F.transform(firsts, lambda x, i: rank_of(x, F.get(parts, i + 1)))
-        best = lambda r: F.struct(F.array_min(r).cast("int").alias("rank"), F.array_position(r, F.array_min(r)).cast("int").alias("at"))
-        merge = lambda b: F.concat(F.slice(parts, 1, b["at"] - 1), F.array(b["rank"]), F.slice(parts, b["at"] + 2, F.size(parts)))
-        return _let(_let(ranks, best), lambda b: F.when(b["rank"].isNull(), parts).otherwise(merge(b)))
+        found = lambda best: _let(F.array_position(state["ranks"], best).cast("int"), lambda at: merge(state, best, at))
+        return _let(F.array_min(state["ranks"]), lambda best: F.when(best < NO_RANK, found(best)).otherwise(state))
 
     def fold(word: Column) -> Column:
         first = F.transform(word, lambda b: F.get(bytes_, b))
         steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, first, step)
+        start = lambda x: F.struct(x.alias("parts"), F.transform(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, i: rank_of(a, F.get(x, i + 1))).alias("ranks"))
+        return F.aggregate(steps, _let(first, start), step, lambda state: state["parts"])
 
     return F.transform(words, fold)
 
