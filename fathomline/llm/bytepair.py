@@ -34,6 +34,8 @@ from fathomline.llm.tokens import default_ranks, ranks_of
 FREQUENT_WORDS, FREQUENT_BYTES = 1 << 18, 1 << 22
 #: Words counted in a task before its counts are sent on.
 COUNTED_AT_ONCE = 1 << 17
+#: Rows put together at once after encoding and in decoding.
+ROWS_AT_ONCE = 500
 WIDTH = 16  # bits of an id
 FIRST_BIT, SECOND_BIT = 16, 38  # of a pair's hash
 NO_RANK = 1 << WIDTH
@@ -159,8 +161,8 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
         import regex
 
         matches, counts = regex.compile(public_tokenizers.PATTERN).findall, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for column in (b.column(0).slice(i, j - i) for b in batches for i, j in byte_runs(b.column(0))):
+            for text in column.to_pylist():
                 counts.update(matches(text or ""))
                 if len(counts) > COUNTED_AT_ONCE:
                     yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
@@ -222,7 +224,7 @@ def encode(df: DataFrame, text_col: str = "text", ranks_path: str | None = None,
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in others), lists, _nested(rests, words_in_row)], [*others, "__runs", "__rest"])
 
     def weave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             runs, rest = (batch.column(batch.schema.get_field_index(c)) for c in ("__runs", "__rest"))
             pieces, words = runs.flatten().to_pylist(), rest.flatten()
             flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
@@ -252,7 +254,7 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path)
         pieces = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        for batch in batches:
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             raw = [b"".join(map(pieces.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
             yield batch.append_column("raw", pa.array(raw, pa.binary()))
