@@ -8,11 +8,9 @@ full shingle sets.
 
 Two ideas keep hot buckets linear. Documents with one and the same set are one class, and a
 bucket first links every member only to its smallest member. Members of a bucket that are
-still in different components are then compared, if few are outside the main component. In
-crowded buckets, which a common passage makes, a pair must meet in two of them (a linked pair
-misses that with a chance under 0.0005 at the threshold itself). Members that meet a bucket's
-main component twice, and the members of a crowd of near copies, which are in many crowded
-buckets at once, are compared on their full sets in numpy blocks, without a row for each pair.
+still in different components are then all compared: as rows of pairs, if few are outside the
+main component, and else in numpy blocks without a row for each pair, first on their registers
+and then, where those are alike, on their full sets. One meeting is enough in any bucket.
 
 Bands are few and wide for small sets and many for large ones: below a size at which the
 possible differences of a linked pair cannot touch all bands, recall is certain.
@@ -34,9 +32,9 @@ from fathomline.llm.components import components
 
 REGISTERS, BUCKET_BITS, MANTISSA, HASH_BITS = 256, 8, 10, 53
 EMPTY = np.uint16(0xFFFF)
-#: Members outside the main component beyond which a bucket is crowded; members and columns compared at once.
-#: A document that is in so many crowded buckets belongs to a crowd of near copies.
-FEW, BLOCK, COLUMNS, MANY = 8, 512, 4096, 6
+#: Members outside the main component beyond which a bucket is crowded; members whose registers,
+#: and members and columns whose sets, are compared at once.
+FEW, SIEVE, BLOCK, COLUMNS = 8, 2048, 512, 4096
 
 
 @dataclass(frozen=True)
@@ -108,9 +106,13 @@ def chance_equal(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     The least hash of a bucket has z leading zeros with the probability that it lies between
     2^-(z+1) and 2^-z; inside that range its mantissa is close to uniform.
     """
+    return REGISTERS * (_zeros(n) * _zeros(m)).sum(axis=1) / (1 << MANTISSA)
+
+
+def _zeros(s: np.ndarray) -> np.ndarray:
+    """For each set size the chances of 0, 1, ... leading zeros in the least hash of a bucket."""
     z = np.arange(HASH_BITS)[None, :]
-    inside = lambda s: (1 - 2.0 ** -(z + 1) / REGISTERS) ** s[:, None] - (1 - 2.0**-z / REGISTERS) ** s[:, None]
-    return REGISTERS * (inside(n) * inside(m)).sum(axis=1) / (1 << MANTISSA)
+    return (1 - 2.0 ** -(z + 1) / REGISTERS) ** s[:, None] - (1 - 2.0**-z / REGISTERS) ** s[:, None]
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +122,23 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return (same - chance_equal(n.astype(float), m.astype(float))) / np.maximum(used, 1), used
 
 
+def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, like: Likeness) -> np.ndarray:
+    """Which of all rows of a are likely links of which of all rows of b, by size and estimate, as in _likely()."""
+    same = np.zeros((len(a), len(b)), np.int16)
+    other = np.where(b == EMPTY, EMPTY - np.uint16(1), b).T.copy()
+    for low in range(0, len(a), 128):
+        for half in (0, REGISTERS // 2):  # so that the bytes can't run over
+            count = np.zeros(same[low : low + 128].shape, np.uint8)
+            for r in range(half, half + REGISTERS // 2):
+                count += (a[low : low + 128, r, None] == other[None, r]).view(np.uint8)
+            same[low : low + 128] += count
+    used = np.maximum(REGISTERS - (a == EMPTY).astype(np.float32) @ (b == EMPTY).astype(np.float32).T, 1)
+    chance = REGISTERS * (_zeros(n.astype(float)) @ _zeros(m.astype(float)).T) / (1 << MANTISSA)
+    least = like.num / like.den
+    sized = (n[:, None] * like.den >= m[None] * like.num) & (m[None] * like.den >= n[:, None] * like.num)
+    return sized & ((same - chance) / used >= least - 5 * np.sqrt(least * (1 - least) / used))
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str, like: Likeness) -> DataFrame:
     """id, n (set size), h1 and h2 (digest of the set), sig (registers), keys (bands) of each row."""
 
@@ -187,12 +206,30 @@ def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _linked_in_blocks(x: DataFrame, y: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+def _linked_in_blocks(x: DataFrame, y: DataFrame, sigs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) between rows of x and rows of y (key, id, component) of one key and different components.
 
-    BLOCK by BLOCK rows of a key are compared on their full sets inside a task; of the links
-    of an id to one component the first is returned.
+    All rows of a key are compared on their registers, SIEVE by SIEVE inside a task. Those
+    that may have a link are compared on their full sets, BLOCK by BLOCK; of the links of an
+    id to one component the first is returned.
     """
+    cell = ["key", "bx", "by", "ix", "iy"]
+
+    def sieve(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if len(x) and len(y):
+            part = lambda t, c: t.column(c).to_numpy()
+            rows = [np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS) for t in (x, y)]
+            close = alike(*rows, part(x, "n"), part(y, "n"), like) & (part(x, "component")[:, None] != part(y, "component")[None])
+            for i in range(0, len(x), BLOCK):
+                for j in range(0, len(y), BLOCK):
+                    some = close[i : i + BLOCK, j : j + BLOCK]
+                    for side, (t, at) in enumerate(((x, i + np.flatnonzero(some.any(axis=1))), (y, j + np.flatnonzero(some.any(axis=0))))):
+                        place = [pa.array(np.full(len(at), v, np.int32)) for v in (i, j, side)]
+                        out.append(pa.table([*(t.column(c).take(pa.array(at)) for c in ("key", "bx", "by")), *place, *(t.column(c).take(pa.array(at)) for c in ("id", "component"))], [*cell, "side", "id", "component"]))
+        return pa.concat_tables([shape.empty_table(), *out])
+
+    shape = pa.schema([("key", pa.int64()), *((c, pa.int32()) for c in (*cell[1:], "side")), ("id", pa.int64()), ("component", pa.int64())])
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         sets = [shingle_sets(t.column("text").combine_chunks(), like.words) for t in (x, y)]
@@ -204,14 +241,16 @@ def _linked_in_blocks(x: DataFrame, y: DataFrame, texts: DataFrame, like: Likene
         pair = np.stack([x.column("id").to_numpy()[i[first]], y.column("id").to_numpy()[j[first]]]) if len(i) else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(pair.min(axis=0)), pa.array(pair.max(axis=0))], ["a", "b"])
 
-    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / SIEVE).cast("int").alias(name))
     cells = blocks(x, "nx").join(blocks(y, "ny"), "key")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     x = x.join(cells, "key").select("key", "id", "component", place("nx").alias("bx"), over("ny").alias("by"))
     y = y.join(cells, "key").select("key", "id", "component", over("nx").alias("bx"), place("ny").alias("by"))
-    fresh = ("key", "bx", "by", "id", "component", "text")
-    x, y = (side.join(texts, "id").select(*(F.col(c).alias(c) for c in fresh)).groupBy("key", "bx", "by") for side in (x, y))
+    fresh = lambda side, *names: side.select(*(F.col(c).alias(c) for c in names))
+    x, y = (fresh(side.join(sigs, "id"), "key", "bx", "by", "id", "component", "n", "sig").groupBy("key", "bx", "by") for side in (x, y))
+    near = settle(x.cogroup(y).applyInArrow(sieve, "key long, bx int, by int, ix int, iy int, side int, id long, component long"))
+    x, y = (fresh(near.where(F.col("side") == k).join(texts, "id"), *cell, "id", "component", "text").groupBy(*cell) for k in (0, 1))
     return x.cogroup(y).applyInArrow(compare, "a long, b long")
 
 
@@ -262,22 +301,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     bucket = opened(shared.drop("hub"), found)
     crowded = bucket.where(F.col("loose") > FEW)
-    outside = settle(crowded.where("component <> main").select("key", "id", "n", "component", "main"))
+    outside = settle(crowded.where("component <> main").select("key", "id", "component", "main"))
     home = crowded.where("component = main").select(F.col("main").alias("key"), "id", "component").distinct()
-    met = outside.groupBy(F.col("main").alias("key"), "id", "component").count().where("count > 1").drop("count")
-    often = outside.groupBy("id").agg((F.count("*") >= MANY).alias("often"))
-    kinds = outside.join(often, "id").groupBy("key").agg((F.avg(F.col("often").cast("int")) > 0.5).alias("copies"))
-    outside = settle(outside.join(kinds, "key"))
-    passage = outside.where("NOT copies")
-    keys = passage.groupBy("id", "n").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    finer = opened(keys.select(F.explode(both).alias("key"), "id", "n"), found)
-    dense = finer.where(F.col("loose") > FEW).select("id").distinct()
-    close = settle(outside.where("copies").union(passage.join(dense, "id", "left_semi").select(outside.columns)).select("key", "id", "component"))
-    pairs = all_pairs(bucket.where(F.col("loose") <= FEW)).union(all_pairs(finer.where(F.col("loose") <= FEW))).distinct()
-    more = linked(pairs).union(settle(_linked_in_blocks(met, home, texts, like)))
-    if not close.isEmpty():
-        more = more.union(settle(_linked_in_blocks(close, close, texts, like)))
+    met = outside.select(F.col("main").alias("key"), "id", "component").distinct()
+    more = linked(all_pairs(bucket.where(F.col("loose") <= FEW)))
+    if not outside.isEmpty():
+        outside = outside.drop("main")
+        for x, y in ((met, home), (outside, outside)):
+            more = more.union(settle(_linked_in_blocks(x, y, sigs, texts, like)))
     if not more.isEmpty():
         found = components(links.union(more))
 

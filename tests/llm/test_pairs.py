@@ -94,6 +94,31 @@ def test_crowded_buckets_match_all_pairs(spark, monkeypatch):
     assert got == want
 
 
+def test_single_meetings_in_a_crowded_bucket_are_compared(spark):
+    """A text and many copies with a last word of their own: each copy meets it once and none links to another."""
+    rows, want = [], {}
+    for case in range(6):
+        base, at = " ".join(f"c{case}w{i}" for i in range(10)), 1000 * case
+        rows += [(at + 500, base)] + [(at + i, f"{base} own{i}") for i in range(40)]
+        want |= {i: at for i in (at + 500, *range(at, at + 40))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id for r in near_duplicates(df, like=Likeness(3, 85, 100)).collect()}
+    assert got == want
+
+
+def test_all_rows_against_all_rows_are_as_likely_as_in_pairs():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.permutation(pool[:size])[: max(1, int(size * share))]) for size in (3, 12, 60, 400) for share in (0.7, 0.9, 1)]
+    sig, n = np.stack([neardup.registers(s) for s in sets]), np.array([len(s) for s in sets])
+    like, least = Likeness(3, 85, 100), 0.85
+    got = neardup.alike(sig, sig, n, n, like)
+    for i in range(len(sets)):
+        close, used = neardup.estimate(np.repeat(sig[i : i + 1], len(sets), axis=0), sig, np.repeat(n[i], len(sets)), n)
+        sized = np.minimum(n[i], n) * 100 >= np.maximum(n[i], n) * 85
+        assert (got[i] == (sized & (close >= least - 5 * np.sqrt(least * (1 - least) / np.maximum(used, 1))))).all()
+
+
 def test_neardup_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, long, "a"), (2, long + " y", "b"), (None, long, "c"), (None, "alone here", "d"), (3, None, "e"), (3, None, "e"), (4, "same text", "f"), (4, "same text", "f")]
