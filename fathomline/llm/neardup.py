@@ -13,7 +13,9 @@ main component, and else in numpy blocks without a row for each pair, first on t
 and then, where those are alike, on their full sets. One meeting is enough in any bucket.
 
 Bands are few and wide for small sets and many for large ones: below a size at which the
-possible differences of a linked pair cannot touch all bands, recall is certain.
+possible differences of a linked pair cannot touch all bands, one of them is untouched. It may
+be empty, so small sets are banded over several shuffles of the registers. Bands and shuffles
+follow from the threshold: a linked pair has no band in common with a chance under MISSED.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ EMPTY = np.uint16(0xFFFF)
 #: Members outside the main component beyond which a bucket is crowded; members whose registers,
 #: and members and columns whose sets, are compared at once.
 FEW, SIEVE, BLOCK, COLUMNS = 8, 2048, 512, 4096
+#: Most chance that the keys of a linked pair have none in common.
+MISSED = 0.0005
 
 
 @dataclass(frozen=True)
@@ -67,7 +72,7 @@ def levels(like: Likeness) -> list[tuple[int, int, int]]:
     one set only are at most (1 - num / den) of it; that many bands and one more suffice.
     """
     out, low, bands = [], 1, 1
-    while bands < 32:
+    while bands < REGISTERS and (bands < 32 or (1 - (like.num / like.den) ** (REGISTERS // bands)) ** bands > MISSED):
         high = low - 1
         while (like.den - like.num) * ((high + 1) * like.den // like.num) // like.den < bands:
             high += 1
@@ -78,6 +83,30 @@ def levels(like: Likeness) -> list[tuple[int, int, int]]:
     return [*out, (low, 1 << 62, bands)]
 
 
+@cache
+def shuffles(like: Likeness) -> list[int]:
+    """For each level the shuffles of the registers that leave a chance under MISSED.
+
+    A linked pair is missed where all its common elements fall into bands that its others
+    touch. The last level has enough bands, and at one band linked sets are equal.
+    """
+    out = []
+    for low, high, bands in levels(like)[:-1]:
+        touched, worst = [np.eye(1, bands + 1)[0]], 0.0  # chances that d elements touch 0, 1, ... bands
+        for size in range(low, high + 1):
+            for both in range(size, 0, -1):
+                union = both * like.den // like.num
+                if union + both < 2 * size:  # the other set would be the smaller one
+                    break
+                while len(touched) <= union - both:
+                    t = touched[-1] * np.arange(bands + 1) / bands
+                    t[1:] += touched[-1][:-1] * (bands - np.arange(bands)) / bands
+                    touched.append(t)
+                worst = max(worst, float(touched[union - both] @ (np.arange(bands + 1) / bands) ** both))
+        out.append(1 if worst <= MISSED else int(np.ceil(np.log(MISSED) / np.log(worst))))
+    return [*out, 1]
+
+
 def band_keys(table: np.ndarray, sizes: np.ndarray, like: Likeness) -> list[np.ndarray]:
     """Join keys of each row of registers: the bands of every level at which a linked pair can meet.
 
@@ -85,13 +114,15 @@ def band_keys(table: np.ndarray, sizes: np.ndarray, like: Likeness) -> list[np.n
     those down to the smallest size it can be linked with.
     """
     out: list[list[np.ndarray]] = [[] for _ in sizes]
-    for level, (low, high, bands) in enumerate(levels(like)):
+    places = [(level, turn, *of) for level, of in enumerate(levels(like)) for turn in range(shuffles(like)[level])]
+    for level, turn, low, high, bands in places:
         rows = np.flatnonzero((sizes >= low) & (sizes * like.num <= high * like.den) if high < 1 << 61 else sizes >= low)
         if not len(rows):
             continue
-        part = table[rows].reshape(len(rows), bands, -1)
-        words = np.ascontiguousarray(part).view(np.uint64)
-        key = mix(np.arange(bands, dtype=np.uint64) + np.uint64(level * 64 + 1))[None, :].repeat(len(rows), 0)
+        order = np.random.default_rng(turn).permutation(REGISTERS) if turn else np.arange(REGISTERS)
+        part = table[rows][:, order].reshape(len(rows), bands, -1)
+        words = np.ascontiguousarray(part).view(f"u{min(8, 2 * part.shape[2])}").astype(np.uint64)
+        key = mix(np.arange(bands, dtype=np.uint64) + np.uint64((turn * 16 + level) * REGISTERS + 1))[None, :].repeat(len(rows), 0)
         for w in range(words.shape[2]):
             key = mix(key ^ words[:, :, w]) + np.uint64(w)
         full = ~(part == EMPTY).all(axis=2)

@@ -138,6 +138,21 @@ def test_levels_leave_a_band_untouched():
             assert (like.den - like.num) * union // like.den < bands
 
 
+@pytest.mark.parametrize("like", [Likeness(5, 80, 100), Likeness(3, 85, 100), Likeness(3, 50, 100)])
+def test_linked_sets_of_any_size_share_a_key(like):
+    rng = np.random.default_rng(8)
+    large = neardup.levels(like)[-1][2]
+    assert (1 - (like.num / like.den) ** (256 / large)) ** large < 0.0005
+    missed = tried = 0
+    for size in [*range(1, 24)] * 40 + [200, 2000] * 40:
+        more = size * like.den // like.num - size
+        hashes = rng.integers(0, 1 << 64, size + more, dtype=np.uint64)
+        sets = [np.unique(hashes[:size]), np.unique(hashes)]
+        keys = neardup.band_keys(np.stack([neardup.registers(s) for s in sets]), np.array([len(s) for s in sets]), like)
+        tried, missed = tried + 1, missed + (not len(np.intersect1d(*keys)))
+    assert missed <= 3  # of 1000
+
+
 def test_estimates_are_close():
     import pyarrow as pa
 
