@@ -3,7 +3,9 @@
 A table hashes a vector to floor((a.v + b) / width) for a few Gaussian directions a. A query
 visits its own bucket and then neighbouring ones in ascending order of the squared distances
 to the boundaries that must be crossed, which is the order of estimated success. Candidates
-of all tables are merged and ranked by their exact distance in double precision.
+of all tables are merged and ranked by their exact distance in double precision. Widths are
+in units of the vectors' own spread, and queries whose probes find fewer than k candidates
+are compared with all vectors.
 
 Buckets and the probes that visit them meet in groups of bounded size: a bucket with many
 vectors or many visitors is dealt in blocks, so no bucket is ever in one task as a whole.
@@ -25,7 +27,7 @@ from fathomline.llm.common import mix, settle
 
 @dataclass(frozen=True)
 class Hashing:
-    """tables x functions hash functions of cells `width` wide; probes buckets visited in each table."""
+    """tables x functions hash functions of cells `width` spreads wide; probes buckets visited in each table."""
 
     tables: int = 4
     functions: int = 6
@@ -81,6 +83,16 @@ def usable(vec: str) -> Column:
     return F.col(vec).isNotNull() & ~odd & F.exists(vec, lambda x: x != 0)
 
 
+def spread(vectors: DataFrame, dims: int) -> float:
+    """Median distance of all rows' vectors (vec) from the middle one; their mean distance if that is 0, and 1 if both are."""
+    middle = vectors.agg(*(F.percentile_approx(F.get("vec", F.lit(i)), 0.5).alias(f"c{i}") for i in range(dims))).first()
+    if middle is None or middle[0] is None:
+        return 1.0
+    off = F.zip_with("vec", F.array(*map(F.lit, middle)), lambda x, c: (x - c) * (x - c))
+    away = F.sqrt(F.aggregate(off, F.lit(0.0), lambda a, x: a + x))
+    return next((float(x) for x in vectors.agg(F.percentile_approx(away, 0.5), F.avg(away)).first() if x), 1.0)
+
+
 def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, how: Hashing | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found among the rows of df for each row of queries.
 
@@ -98,12 +110,13 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     dims = most.dims if most else 1
     own, ask = (x.where(F.size("vec") == dims).select("id", F.col("vec").cast("array<double>").alias("vec")) for x in (own, ask))
     alike = Window.partitionBy("vec").orderBy("id")
-    own = own.distinct().withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).drop("place")
+    own = settle(own.distinct().withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).drop("place"))
+    unit = spread(own, dims)
 
     def hashed(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
         a, b = directions(how, dims)
         for batch in batches:
-            at = (_matrix(batch.column(1), dims) @ a + b) / how.width
+            at = (_matrix(batch.column(1), dims) / unit @ a + b) / how.width
             cells = np.floor(at).astype(np.int64)
             keys, rows = [], []
             for t in range(how.tables):
@@ -129,16 +142,6 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     index = settle(own.mapInArrow(lambda x: hashed(x, 1), shape))
     asked = settle(ask.mapInArrow(lambda x: hashed(x, how.probes), shape))
 
-    # Blocks of buckets: (vector block, visitor block) pairs, hashed to groups of about how.vectors vectors.
-    sizes = index.groupBy("bucket").agg(F.ceil(F.count("*") / how.vectors).cast("int").alias("vs"))
-    visits = asked.groupBy("bucket").agg(F.ceil(F.count("*") / how.visitors).cast("int").alias("qs"))
-    plan = settle(sizes.join(visits, "bucket"))
-    groups = max(1, -(-index.count() // how.vectors))
-    group = F.pmod(F.xxhash64("bucket", "v", "q"), F.lit(groups))
-    left = index.join(plan, "bucket").select("*", F.pmod(F.xxhash64("id"), "vs").cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
-    right = asked.join(plan, "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"), F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q"))
-    left, right = (x.select("id", "vec", F.xxhash64("bucket", "v", "q").alias("block"), group.alias("g")) for x in (left, right))
-
     def meet(mine: pa.Table, visiting: pa.Table) -> pa.Table:
         ids, vecs = mine.column("id").combine_chunks(), _matrix(mine.column("vec").combine_chunks(), dims)
         asks, aims = visiting.column("id").combine_chunks(), _matrix(visiting.column("vec").combine_chunks(), dims)
@@ -163,7 +166,23 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
         frame = frame[frame.query_id != frame.vec_id].sort_values(["query_id", "score", "vec_id"])
         return pa.Table.from_pandas(frame[frame.groupby("query_id").cumcount() < k], preserve_index=False)
 
-    found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score double")
+    def matched(index: DataFrame, asked: DataFrame) -> DataFrame:
+        """Candidates of all asked rows, of one bucket: (vector block, visitor block) pairs, hashed to groups of about how.vectors vectors."""
+        sizes = index.groupBy("bucket").agg(F.ceil(F.count("*") / how.vectors).cast("int").alias("vs"))
+        visits = asked.groupBy("bucket").agg(F.ceil(F.count("*") / how.visitors).cast("int").alias("qs"))
+        plan = settle(sizes.join(visits, "bucket"))
+        groups = max(1, -(-index.count() // how.vectors))
+        group = F.pmod(F.xxhash64("bucket", "v", "q"), F.lit(groups))
+        left = index.join(plan, "bucket").select("*", F.pmod(F.xxhash64("id"), "vs").cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
+        right = asked.join(plan, "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"), F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q"))
+        left, right = (x.select("id", "vec", F.xxhash64("bucket", "v", "q").alias("block"), group.alias("g")) for x in (left, right))
+        return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score double")
+
+    found = settle(matched(index, asked).distinct())
+    served = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k)
+    short = settle(ask.distinct().join(served, "id", "left_anti").withColumn("bucket", F.lit(0).cast("long")))
+    if not short.isEmpty():
+        found = found.union(matched(own.withColumn("bucket", F.lit(0).cast("long")), short))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

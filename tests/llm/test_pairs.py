@@ -218,6 +218,23 @@ def test_neighbours_recall_with_production_parameters(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("norm", [0.01, 10.0])
+def test_neighbours_at_any_scale(spark, norm):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1500, 64))
+    v *= norm / np.linalg.norm(v, axis=1)[:, None]
+    v[700] *= 300  # an outlier that no probe finds neighbours of
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_nearest(rows, [r for r in rows if r[0] % 100 == 0], 10)
+    got = {}
+    for r in nearest(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == 10 for q in want)
+    assert got[700] == {i for _, i in want[700]}
+    assert sum(len(got[q] & {i for _, i in found}) for q, found in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
