@@ -2,14 +2,16 @@
 
 * Text: naive Bayes over hashed byte trigrams, trained on the rows' own declared languages
   by one grouped count over all rows; the likelihood is tempered, as neighbouring trigrams
-  are far from independent.
+  are far from independent. A background class, uniform but for a share of all languages
+  pooled, stands for all other languages and for junk.
 * Declared language: how often rows of each (text-judged) language declare each tag.
 * Address suffix: how often rows of each language stand under each suffix.
 * Host: how languages are spread over the host's other rows, smoothed towards the host's
   parent, which is smoothed towards the whole corpus. A row's own weight is left out.
 
 The last three come from grouped sums of the text posteriors; the model on the driver has
-a fixed size (languages times trigram buckets).
+a fixed size (languages times trigram buckets). The background class takes part in them like
+a language, so a declared tag, suffix or host of such rows becomes evidence for it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from fathomline.llm.urls import CAPITALS, SMALL, host_of
 BUCKETS = 1 << 15
 #: Trigram log-likelihoods are divided by this, and at most this many trigrams' worth of evidence counts.
 TEMPER, MOST_EVIDENCE = 4.0, 400.0
+#: Share of the pooled languages in the background; the rest is uniform.
+POOLED = 0.25
+#: What lang is where none of the known languages is likelier than the background.
+OTHER = "other"
 
 
 @dataclass(frozen=True)
@@ -58,7 +64,7 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(df: DataFrame, text_col: str, label_col: str, how: Languages) -> np.ndarray:
-    """Log-probabilities (languages x BUCKETS) from all rows that carry a known label."""
+    """Log-probabilities (languages and background x BUCKETS) from all rows that carry a known label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(how.known) * BUCKETS, np.int64)
@@ -75,7 +81,8 @@ def trained(df: DataFrame, text_col: str, label_col: str, how: Languages) -> np.
     table = np.full(len(how.known) * BUCKETS, 0.5)
     table[sums["at"].to_numpy()] += sums["n"].to_numpy()
     table = table.reshape(len(how.known), BUCKETS)
-    return np.log(table / table.sum(axis=1, keepdims=True))
+    table /= table.sum(axis=1, keepdims=True)
+    return np.log(np.vstack([table, POOLED * table.mean(axis=0) + (1 - POOLED) / BUCKETS]))
 
 
 def scored(df: DataFrame, text_col: str, model: np.ndarray, how: Languages) -> DataFrame:
@@ -85,11 +92,11 @@ def scored(df: DataFrame, text_col: str, model: np.ndarray, how: Languages) -> D
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model - model.mean(axis=0)
         for batch in batches:
-            texts, out = batch.column(batch.schema.get_field_index(text_col)), np.zeros((batch.num_rows, len(how.known)))
+            texts, out = batch.column(batch.schema.get_field_index(text_col)), np.zeros((batch.num_rows, len(model)))
             for i, j in byte_runs(texts):
                 gram, first = _trigrams(texts.slice(i, j - i))
                 n = np.diff(first)
-                for k in range(len(how.known)):
+                for k in range(len(model)):
                     sums = np.concatenate([[0.0], np.cumsum(weights[k][gram])])
                     out[i:j, k] = sums[first[1:]] - sums[first[:-1]]
                 scale = np.minimum(1.0, MOST_EVIDENCE / np.maximum(n, 1)) / TEMPER
@@ -109,7 +116,7 @@ def _normal(logs: Column) -> Column:
 
 def fused(df: DataFrame, key: Sequence[str], how: Languages) -> DataFrame:
     """key columns, lang, p, text_lang: the posterior from __text, __declared, __suffix, __host and __parent."""
-    n = len(how.known)
+    n = len(how.known) + 1
     each = range(n)
     # The tables below are grouped sums of the text posteriors; rows without text evidence are spread evenly.
     rows = settle(df.withColumn("__q", _normal(F.col("__text"))).withColumns({f"q{i}": F.get("__q", F.lit(i)) for i in each}).drop("__q"))
@@ -134,7 +141,7 @@ def fused(df: DataFrame, key: Sequence[str], how: Languages) -> DataFrame:
         return F.when(F.col(by).isNull() | (size(by) <= 0), F.lit(0.0)).otherwise(F.log(F.greatest(given, F.lit(1e-12))))
 
     logs = F.array(*(F.get("__text", F.lit(i)) + F.log(prior(i)) + likelihood("__declared", i) + likelihood("__suffix", i) for i in each))
-    names = F.array(*map(F.lit, how.known))
+    names = F.array(*map(F.lit, (*how.known, OTHER)))
     best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
     out = rows.withColumn("__p", _normal(logs))
     spoken = F.exists("__text", lambda x: x != 0)
@@ -162,16 +169,16 @@ def identify(df: DataFrame, text_col: str, key: Sequence[str], label_col: str =
     """key columns, lang, p, text_lang and accepted of every row.
 
     df has text_col, the key columns and __declared, __suffix, __host, __parent (string, null
-    where there is none). Languages are those known; without any evidence lang is the
-    commonest and p its share. accepted: the text has evidence of its own and p is large
-    enough, so null, empty and very short texts are not accepted. Ties go to the first known
-    language. Repeated rows get equal answers but for their own weight; an empty table is fine.
+    where there is none). Languages are those known and OTHER; without any evidence lang is the
+    commonest and p its share. accepted: the text has evidence of its own, lang is known and p
+    is large enough, so null, empty and very short texts are not accepted, nor are junk and
+    other languages. Ties go to the first known language. Repeated rows get equal answers but for their own weight; an empty table is fine.
     """
     how = how or Languages()
     model = trained(df, text_col, label_col, how)
     small = scored(df.select(*key, text_col, *(c for c in ("__declared", "__suffix", "__host", "__parent") if c not in key)), text_col, model, how)
     out = fused(small, key, how)
-    return out.withColumn("accepted", F.col("text_lang").isNotNull() & (F.col("p") >= how.accept))
+    return out.withColumn("accepted", F.col("text_lang").isNotNull() & (F.col("lang") != OTHER) & (F.col("p") >= how.accept))
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -168,6 +168,21 @@ def test_languages(spark):
     assert language.identify(df.limit(0), "text", ["page_id"]).count() == 0
 
 
+def test_other_languages_and_junk_are_not_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.col("lang").alias("__declared"), F.col("source").alias("__host"))
+    odd = {
+        -1: "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita.",
+        -2: "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+        -3: "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+        -4: "xq7#kz vv93jw pqlx0z%w gk2yt jjq8 zxwv4 qqkd7h wpz&1x vkjq",
+    }
+    rows = docs.union(spark.createDataFrame([(i, t, None, None) for i, t in odd.items()], "doc_id long, text string, __declared string, __host string"))
+    rows = rows.withColumn("__suffix", F.lit(None).cast("string")).withColumn("__parent", F.lit(None).cast("string"))
+    got = {r.doc_id: r for r in language.identify(rows, "text", ["doc_id"]).collect()}
+    assert not any(got[i].accepted for i in odd)
+    assert sum(r.accepted for i, r in got.items() if i >= 0) > 0.95 * (len(got) - len(odd))
+
+
 def test_evidence_of_pages(spark):
     html = '<!DOCTYPE html><HTML class="x" LANG=DE-at><script>var a = "<b>";</script><style>p{}</style><!-- c --><p>Hallo <b>du</b></p>'
     df = spark.createDataFrame([(1, "https://a@www.Shop.example.CO:80/x", html), (2, None, None)], "page_id long, url string, html string")
