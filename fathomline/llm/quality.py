@@ -2,8 +2,14 @@
 
 Each rule votes good (1), bad (-1) or abstains (0). The corpus is reduced to counts of vote
 patterns, at most 3 to the number of rules; expectation-maximisation over that small table
-estimates how often each rule is right on good and on bad documents, as one fold in SQL;
-a document is kept if its posterior of being good is a half or more.
+estimates how often each rule's votes say bad on good and on bad documents, as one fold in
+SQL; a document is kept if its posterior of being good is a half or more.
+
+Two classes alone may settle on any split of the corpus, a topic or a format as well as
+quality. Three things hold the estimates to what the rules mean: prior votes worth a share of
+the cast ones; a bad vote is always at least ODDS times as likely on a bad document as on a
+good one; and no rule is taken to find more than MOST_FOUND of the bad ones, as a document may
+be bad in one way only. At least LEAST_SHARE of all documents are taken to be good.
 """
 
 from __future__ import annotations
@@ -18,8 +24,12 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RUN = 5
 ROUNDS = 25
-START_GOOD, START_BAD, START_SHARE = 0.95, 0.3, 0.8
-LEAST_ACCURACY, MOST_ACCURACY = 0.02, 0.999
+#: Shares of bad votes on good and on bad documents, and of good documents, to start from.
+START_FALSE, START_FOUND, START_SHARE = 0.05, 0.3, 0.8
+#: Prior votes of each class for each vote that a rule casts.
+PRIOR = 0.05
+#: A bad vote is this many times as likely on bad documents, at least; bounds of the shares.
+ODDS, LEAST_FALSE, MOST_FOUND, LEAST_SHARE = 4.0, 0.001, 0.5, 0.7
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -96,42 +106,58 @@ def voted(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def estimated(votes: DataFrame) -> list[float]:
-    """The model from the __votes of all rows: for each rule how often its votes on good documents
-    say good, then for each how often its votes on bad ones say bad, then the share of good documents.
+    """The model from the __votes of all rows: for each rule the share of bad ones among its votes on
+    good documents, then for each that among its votes on bad ones, then the share of good documents.
 
-    One fold over ROUNDS rounds: posteriors of every pattern, then expected right votes of every
-    rule over its votes in each class. Without votes of a rule its start values hold.
+    One fold over ROUNDS rounds: posteriors of every pattern, then each rule's expected votes
+    in both classes with the prior's. Where the two shares come too close or change places,
+    both move to ODDS apart, and the rule's bad votes as a whole stay as many as they are.
+    Rules without votes keep their start values.
     """
     n = len(rules())
     pattern = F.array_sort(F.collect_list(F.struct(F.col("__votes").alias("v"), F.col("count").cast("double").alias("c"))))
     model = votes.groupBy("__votes").count().agg(pattern.alias("patterns"))
 
-    def round_(m: Column, _: Column) -> Column:
-        seen = F.transform("patterns", lambda p: F.struct(p["v"].alias("v"), p["c"].alias("c"), _posterior(p["v"], m).alias("q")))
-        total = lambda value: F.aggregate(seen, F.lit(0.0), lambda a, p: a + value(p))
+    def rates(seen: Column, j: Column) -> Column:
+        """struct(false, found) of rule j."""
+
+        def add(a: Column, p: Column) -> Column:
+            vote, good, bad = F.get(p["v"], j), p["c"] * p["q"], p["c"] * (1 - p["q"])
+            more = lambda name, when, x: (a[name] + F.when(when, x).otherwise(0.0)).alias(name)
+            return F.struct(more("ng", vote != 0, good), more("xg", vote == -1, good), more("nb", vote != 0, bad), more("xb", vote == -1, bad))
 
-        def accuracy(vote: int, start: float) -> Column:
-            sure = lambda p: p["c"] * (p["q"] if vote == 1 else 1 - p["q"])
+        def settled(t: Column) -> Column:
+            prior = F.lit(PRIOR) * (t["ng"] + t["nb"]) + 1
+            false, found = (t["xg"] + prior * START_FALSE) / (t["ng"] + prior), (t["xb"] + prior * START_FOUND) / (t["nb"] + prior)
+            apart = (t["xg"] + t["xb"] + prior * (START_FALSE + START_FOUND)) / (t["ng"] + prior + ODDS * (t["nb"] + prior))
+            mixed = found < ODDS * false
+            found = F.least(F.when(mixed, ODDS * apart).otherwise(found), F.lit(MOST_FOUND))
+            return F.struct(F.greatest(F.least(F.when(mixed, apart).otherwise(false), found / ODDS), F.lit(LEAST_FALSE)).alias("false"), found.alias("found"))
 
-            def of(j: Column) -> Column:
-                right = total(lambda p: F.when(F.get(p["v"], j) == vote, sure(p)).otherwise(0.0))
-                cast = total(lambda p: F.when(F.get(p["v"], j) != 0, sure(p)).otherwise(0.0))
-                return F.least(F.greatest((right + start) / (cast + 1), F.lit(LEAST_ACCURACY)), F.lit(MOST_ACCURACY))
+        zero = F.lit(0.0)
+        return F.aggregate(seen, F.struct(zero.alias("ng"), zero.alias("xg"), zero.alias("nb"), zero.alias("xb")), add, settled)
+
+    def round_(m: Column, _: Column) -> Column:
+        seen = F.transform("patterns", lambda p: F.struct(p["v"].alias("v"), p["c"].alias("c"), _posterior(p["v"], m).alias("q")))
+        total = lambda rows, value: F.aggregate(rows, F.lit(0.0), lambda a, p: a + value(p))
 
-            return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), of)
+        def after(seen: Column) -> Column:
+            each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: rates(seen, j))
+            share = (total(seen, lambda p: p["c"] * p["q"]) + START_SHARE) / (total(seen, lambda p: p["c"]) + 1)
+            share = F.greatest(share, F.lit(LEAST_SHARE))
+            return F.concat(F.transform(each, lambda r: r["false"]), F.transform(each, lambda r: r["found"]), F.array(share))
 
-        share = (total(lambda p: p["c"] * p["q"]) + START_SHARE) / (total(lambda p: p["c"]) + 1)
-        return F.concat(accuracy(1, START_GOOD), accuracy(-1, START_BAD), F.array(share))
+        return F.get(F.transform(F.array(seen), after), F.lit(0))
 
-    start = F.array(*[F.lit(START_GOOD)] * n, *[F.lit(START_BAD)] * n, F.lit(START_SHARE))
+    start = F.array(*[F.lit(START_FALSE)] * n, *[F.lit(START_FOUND)] * n, F.lit(START_SHARE))
     return list(model.select(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_).alias("m")).first().m)
 
 
 def _posterior(votes: Column, model: Column) -> Column:
     """Probability that a document with these votes is good."""
     n = len(rules())
-    good, bad, share = (lambda j: F.get(model, j)), (lambda j: F.get(model, j + n)), F.get(model, F.lit(2 * n))
-    says = lambda v, j: F.when(v == 1, F.log(good(j) / (1 - bad(j)))).when(v == -1, F.log((1 - good(j)) / bad(j))).otherwise(0.0)
+    false, found, share = (lambda j: F.get(model, j)), (lambda j: F.get(model, j + n)), F.get(model, F.lit(2 * n))
+    says = lambda v, j: F.when(v == 1, F.log((1 - false(j)) / (1 - found(j)))).when(v == -1, F.log(false(j) / found(j))).otherwise(0.0)
     odds = F.aggregate(F.transform(votes, says), F.log(share / (1 - share)), lambda a, b: a + b)
     return 1 / (1 + F.exp(-odds))
 

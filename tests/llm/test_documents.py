@@ -1,6 +1,7 @@
 """Tokens, packing, sharding, quality, language, fixity and URL verdicts, and their odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -148,6 +149,47 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.quality(df.limit(0)).count() == 0
 
 
+def plain_em(patterns):
+    """The quality model of {votes: count} in plain Python."""
+    n = len(quality.rules())
+    false, found, share = [quality.START_FALSE] * n, [quality.START_FOUND] * n, quality.START_SHARE
+
+    def good(v):
+        odds = math.log(share / (1 - share)) + sum(math.log((1 - false[j]) / (1 - found[j])) if x == 1 else math.log(false[j] / found[j]) if x == -1 else 0 for j, x in enumerate(v))
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(quality.ROUNDS):
+        q = {v: good(v) for v in patterns}
+        for j in range(n):
+            cast = [(c * q[v], c * (1 - q[v]), v[j] == -1) for v, c in patterns.items() if v[j]]
+            ng, nb = sum(a for a, _, _ in cast), sum(b for _, b, _ in cast)
+            xg, xb = sum(a for a, _, bad in cast if bad), sum(b for _, b, bad in cast if bad)
+            prior = quality.PRIOR * (ng + nb) + 1
+            f, b = (xg + prior * quality.START_FALSE) / (ng + prior), (xb + prior * quality.START_FOUND) / (nb + prior)
+            if b < quality.ODDS * f:
+                f = (xg + xb + prior * (quality.START_FALSE + quality.START_FOUND)) / (ng + prior + quality.ODDS * (nb + prior))
+                b = quality.ODDS * f
+            found[j] = min(b, quality.MOST_FOUND)
+            false[j] = max(min(f, found[j] / quality.ODDS), quality.LEAST_FALSE)
+        share = max((sum(c * q[v] for v, c in patterns.items()) + quality.START_SHARE) / (sum(patterns.values()) + 1), quality.LEAST_SHARE)
+    return [*false, *found, share]
+
+
+def test_quality_model_matches_plain_python(spark):
+    rng = random.Random(3)
+    votes = [tuple(rng.choices((-1, 0, 1), weights=(1, 2, 4), k=9)) for _ in range(400)]
+    df = spark.createDataFrame([(list(v),) for v in votes], "__votes array<tinyint>")
+    assert quality.estimated(df) == pytest.approx(plain_em(Counter(votes)))
+    assert quality.estimated(df.limit(0)) == pytest.approx(plain_em(Counter()))
+
+
+def test_bad_votes_speak_against_a_document(spark):
+    table = quality.voted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    model = quality.estimated(table)
+    n = len(quality.rules())
+    assert all(found >= quality.ODDS * false > 0 for false, found in zip(model[:n], model[n : 2 * n], strict=True))
+
+
 def test_languages(spark):
     seed = {"de": "der die und das ist nicht ein zu mit wir haben schon", "en": "the and that is not with we have been this there", "es": "el la los que no una con para esto tiene muy", "fr": "le les que ne pas une avec pour cette nous est"}
     rng = random.Random(2)
