@@ -8,8 +8,8 @@ full shingle sets.
 
 Two ideas keep hot buckets linear. Documents with one and the same set are one class, and a
 bucket first links every member only to its smallest member. Members of a bucket that are
-still in different components are then all compared: as rows of pairs, if few are outside the
-main component, and else in numpy blocks without a row for each pair, first on their registers
+still in different components are then all compared: as rows of pairs, if those are few, and
+else in numpy blocks without a row for each pair, first on their registers
 and then, where those are alike, on their full sets. One meeting is enough in any bucket.
 
 Bands are few and wide for small sets and many for large ones: below a size at which the
@@ -35,9 +35,9 @@ from fathomline.llm.components import components
 
 REGISTERS, BUCKET_BITS, MANTISSA, HASH_BITS = 256, 8, 10, 53
 EMPTY = np.uint16(0xFFFF)
-#: Members outside the main component beyond which a bucket is crowded; members whose registers,
-#: and members and columns whose sets, are compared at once.
-FEW, SIEVE, BLOCK, COLUMNS = 8, 2048, 512, 4096
+#: Rows of pairs beyond which a bucket is crowded; members whose registers, and members and
+#: columns whose sets, are compared at once.
+FEW, SIEVE, BLOCK, COLUMNS = 64, 2048, 512, 4096
 #: Most chance that the keys of a linked pair have none in common.
 MISSED = 0.0005
 
@@ -318,9 +318,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     def opened(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Rows (key, id, n) of buckets over several components: with component, the bucket's main one and how many are outside it."""
+        """Rows (key, id, n) of buckets over several components: with component, the bucket's main one and how many pairs have a side outside it."""
         placed = rows.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("key", "component").count().groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "count").alias("main"), (F.sum("count") - F.max("count")).alias("loose"))
+        parts = placed.groupBy("key", "component").count().groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", "count").alias("main"), ((F.sum("count") - F.max("count")) * F.sum("count")).alias("pairs"))
         return settle(placed.join(parts.where("parts > 1").drop("parts"), "key"))
 
     def all_pairs(rows: DataFrame) -> DataFrame:
@@ -331,11 +331,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(links)
 
     bucket = opened(shared.drop("hub"), found)
-    crowded = bucket.where(F.col("loose") > FEW)
+    crowded = bucket.where(F.col("pairs") > FEW)
     outside = settle(crowded.where("component <> main").select("key", "id", "component", "main"))
     home = crowded.where("component = main").select(F.col("main").alias("key"), "id", "component").distinct()
     met = outside.select(F.col("main").alias("key"), "id", "component").distinct()
-    more = linked(all_pairs(bucket.where(F.col("loose") <= FEW)))
+    more = linked(all_pairs(bucket.where(F.col("pairs") <= FEW)))
     if not outside.isEmpty():
         outside = outside.drop("main")
         for x, y in ((met, home), (outside, outside)):
