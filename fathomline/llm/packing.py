@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import LOWER, byte_runs, mix, settle, span_hashes, utf8, word_spans
-from fathomline.llm.tokens import default_ranks, fast_encoder
+from fathomline.llm.tokens import default_ranks, default_tokenizer, fast_encoder, special_tokens
 
 DIMS, BITS = 4, 8
+#: Most ranges of the curve, and rows sampled for the bounds of each: what the driver holds has a bound.
+MOST_RANGES, SAMPLED = 1 << 14, 64
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -77,16 +79,16 @@ def _order(key: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return both.view("S16")[:, 0]
 
 
-def encoded(df: DataFrame, id_col: str, text_col: str, ranks_path: str, end_id: int) -> DataFrame:
+def encoded(df: DataFrame, id_col: str, text_col: str, ranks_path: str, end_id: int, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """doc_id, key, tag (unique), n, ids (packed unsigned integers, the end id last) of each row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = fast_encoder(ranks_path), TaskContext.get().partitionId() << 40
+        encoder, at = fast_encoder(ranks_path, special), TaskContext.get().partitionId() << 40
         width = "<u2" if max(encoder.n_vocab, end_id + 1) <= 1 << 16 else "<u4"
         end = np.array([end_id], dtype=width).tobytes()
         for batch in (b.slice(i, j - i) for b in batches for i, j in byte_runs(b.column(1))):
             texts = batch.column(1)
-            ids = [encoder.encode_to_numpy(t or "", disallowed_special=()).astype(width).tobytes() + end for t in texts.to_pylist()]
+            ids = [encoder.encode_to_numpy(t or "", allowed_special="all").astype(width).tobytes() + end for t in texts.to_pylist()]
             n = np.array([len(x) for x in ids], np.int64) // np.dtype(width).itemsize
             tag = np.arange(at, at + len(ids))
             at += len(ids)
@@ -96,7 +98,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, ranks_path: str, end_id:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {kind}, key long, tag long, n long, ids binary")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, ranks_path: str | None = None, end_id: int = 1, range_tokens: int = 4_000_000) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, ranks_path: str | None = None, end_id: int = 1, range_tokens: int = 4_000_000, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Pieces of documents in sequences of `length` tokens along the Hilbert curve.
 
     One row for each piece: doc_id, key, start (tokens of its document before it), length,
@@ -104,12 +106,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     the sequence). Null and empty texts hold only the end id; ties on the curve lie in
     input order; repeated rows are packed each; other columns of df are not read; an empty
     table gives no pieces; a text of any length is cut over as many sequences as it needs.
+    special: (string, id) pairs that are one token where a text holds the string; without
+    them every string is ordinary text. A range of the curve has about range_tokens tokens,
+    and more where there would be over MOST_RANGES of them.
     """
     path = ranks_path or default_ranks()
-    table = settle(encoded(df, id_col, text_col, path, end_id))
+    table = settle(encoded(df, id_col, text_col, path, end_id, special))
     total = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    ranges = max(1, -(-total.tokens // range_tokens))
-    share = min(1.0, 200 * ranges / max(1, total.rows))  # only the ranges' bounds come from a sample
+    ranges = min(MOST_RANGES, max(1, -(-total.tokens // range_tokens)))
+    share = min(1.0, SAMPLED * ranges / max(1, total.rows))  # only the ranges' bounds come from a sample
     sample = table.select("key", "tag", "n").sample(share, seed=1).toPandas().sort_values(["key", "tag"])
     weight = sample["n"].to_numpy().cumsum()
     at = np.unique(np.searchsorted(weight, [weight[-1] * i / ranges for i in range(1, ranges)])) if len(weight) else []
@@ -152,5 +157,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), special=special_tokens(default_tokenizer()))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -25,17 +25,21 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 @cache
 def tokenizer_of(path: str):
-    """The tokenizers library's model of a .json file; special strings in a text are ordinary text."""
+    """The tokenizers library's model of a .json file."""
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(string, id) of the special tokens of a .json file."""
+    found = tokenizer_of(path).get_added_tokens_decoder()
+    return tuple((token.content, i) for i, token in sorted(found.items()))
 
 
 @cache
-def fast_encoder(path: str):
+def fast_encoder(path: str, special: tuple[tuple[str, int], ...] = ()):
     """tiktoken's encoder over the same vocabulary: the same ids several times as fast."""
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens=dict(special))

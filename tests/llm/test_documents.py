@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.llm import bytepair, fixity, language, packing, quality, sharding, urls
-from fathomline.llm.tokens import default_ranks, default_tokenizer, fast_encoder, tokenizer_of
+from fathomline.llm.tokens import default_ranks, default_tokenizer, fast_encoder, special_tokens, tokenizer_of
 
 ODD = ["", None, "a", "don't we'll 'tis it's", "  two  spaces \n\n\tand\ttabs \u00a0\u2003x", "ünïcode 漢字 🙂🙂 é\u0301", "<|endoftext|> as text", "123 4567 a1b2", "x" * 300, "word " * 3000, "\u200b\ufeff!?…", "ß SS ÀÉ"]
 
@@ -49,9 +49,19 @@ def test_rank_map_finds_every_pair():
 
 
 def test_both_libraries_agree():
-    model, encoder = tokenizer_of(default_tokenizer()), fast_encoder(default_ranks())
-    for t in ODD:
-        assert model.encode(t or "", add_special_tokens=False).ids == encoder.encode_ordinary(t or "")
+    model, encoder = tokenizer_of(default_tokenizer()), fast_encoder(default_ranks(), special_tokens(default_tokenizer()))
+    for t in [*ODD, "<|endoftext|><|endoftext|> x  <|endoftext|>\n<|endoftext|", " <|endoftext|>'s"]:
+        assert model.encode(t or "", add_special_tokens=False).ids == encoder.encode(t or "", allowed_special="all")
+
+
+def test_packing_query_gives_the_plain_ids(spark, tmp_path):
+    texts = [*ODD, "one <|endoftext|> two", "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = tokenizer_of(default_tokenizer())
+    for r in packing.op6_query(spark, str(tmp_path)).collect():
+        ids = model.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [1]
+        assert r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
 
 
 @pytest.mark.parametrize("length", [7, 64])
@@ -60,13 +70,13 @@ def test_packing_is_complete_and_gapless(spark, length):
     texts = ODD + [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randint(0, 90))) for _ in range(60)] + ["same"] * 20
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, offset int").repartition(5)
     pieces = packing.pack(df, length=length, range_tokens=500).collect()
-    model = tokenizer_of(default_tokenizer())
+    encoder = fast_encoder(default_ranks())
     by_doc, by_sequence = {}, {}
     for p in pieces:
         by_doc.setdefault(p.doc_id, []).append(p)
         by_sequence.setdefault(p.sequence_id, []).append(p)
     for i, t in enumerate(texts):
-        want = model.encode(t or "", add_special_tokens=False).ids + [1]
+        want = encoder.encode_ordinary(t or "") + [1]
         mine = sorted(by_doc[i], key=lambda p: p.start)
         assert np.concatenate([np.frombuffer(p.ids, "<u4") for p in mine]).tolist() == want
         assert [p.start for p in mine] == np.cumsum([0] + [p.length for p in mine])[:-1].tolist()
