@@ -16,7 +16,7 @@ a language, so a declared tag, suffix or host of such rows becomes evidence for
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +29,8 @@ from fathomline.llm.common import LOWER, SEPARATOR, byte_runs, settle, utf8
 from fathomline.llm.urls import CAPITALS, SMALL, host_of
 
 BUCKETS = 1 << 15
-#: Trigram log-likelihoods are divided by this, and at most this many trigrams' worth of evidence counts.
-TEMPER, MOST_EVIDENCE = 4.0, 400.0
+#: Trigram log-likelihoods are divided by this.
+TEMPER = 4.0
 #: Share of the pooled languages in the background; the rest is uniform.
 POOLED = 0.25
 #: What lang is where none of the known languages is likelier than the background.
@@ -99,8 +99,7 @@ def scored(df: DataFrame, text_col: str, model: np.ndarray, how: Languages) -> D
                 for k in range(len(model)):
                     sums = np.concatenate([[0.0], np.cumsum(weights[k][gram])])
                     out[i:j, k] = sums[first[1:]] - sums[first[:-1]]
-                scale = np.minimum(1.0, MOST_EVIDENCE / np.maximum(n, 1)) / TEMPER
-                out[i:j] *= np.where(n >= how.least_trigrams, scale, 0.0)[:, None]
+                out[i:j] *= np.where(n >= how.least_trigrams, 1 / TEMPER, 0.0)[:, None]
             out -= out.max(axis=1, keepdims=True) if len(out) else 0
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in others), pa.array(list(out), pa.list_(pa.float64()))], [*others, "__text"])
 
@@ -108,10 +107,16 @@ def scored(df: DataFrame, text_col: str, model: np.ndarray, how: Languages) -> D
     return df.mapInArrow(score, schema)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _normal(logs: Column) -> Column:
     """Probabilities in proportion to exp(logs)."""
-    top = F.array_max(logs)
-    return F.transform(F.transform(logs, lambda x: F.exp(x - top)), lambda x: x / F.aggregate(F.transform(logs, lambda y: F.exp(y - top)), F.lit(0.0), lambda a, b: a + b))
+    shares = lambda x: _let(F.aggregate(x, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(x, lambda y: y / total))
+    raised = lambda x: _let(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top)))
+    return _let(logs, lambda x: _let(raised(x), shares))
 
 
 def fused(df: DataFrame, key: Sequence[str], how: Languages) -> DataFrame:
@@ -172,7 +177,9 @@ def identify(df: DataFrame, text_col: str, key: Sequence[str], label_col: str =
     where there is none). Languages are those known and OTHER; without any evidence lang is the
     commonest and p its share. accepted: the text has evidence of its own, lang is known and p
     is large enough, so null, empty and very short texts are not accepted, nor are junk and
-    other languages. Ties go to the first known language. Repeated rows get equal answers but for their own weight; an empty table is fine.
+    other languages. Ties go to the first known language. Repeated rows are told apart by nothing
+    and get equal answers; of a host that repeats in bulk only a grouped sum is looked up. Texts
+    are read whole; an empty table is fine.
     """
     how = how or Languages()
     model = trained(df, text_col, label_col, how)

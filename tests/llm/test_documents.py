@@ -220,6 +220,56 @@ def test_languages(spark):
     assert language.identify(df.limit(0), "text", ["page_id"]).count() == 0
 
 
+def plain_posteriors(rows, how):
+    """{key: (lang, p)} of (key, text, declared, suffix, host, parent) rows, from the formulas in plain Python."""
+    known, classes = how.known, len(how.known) + 1
+    fold = lambda t: bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    bucket = lambda g: ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % (1 << 32)) >> 17
+    grams = {r[0]: [bucket(x[i : i + 3]) for i in range(len(x) - 2)] for r in rows for x in [fold(r[1])]}
+    counts = [[0.5] * language.BUCKETS for _ in known]
+    for key, text, declared, *_ in rows:
+        if declared in known and text is not None:
+            for g in grams[key]:
+                counts[known.index(declared)][g] += 1
+    shares = [[c / sum(row) for c in row] for row in counts]
+    shares.append([language.POOLED * sum(col) / len(known) + (1 - language.POOLED) / language.BUCKETS for col in zip(*shares, strict=True)])
+    logs = {k: [sum(math.log(s[g]) for g in gs) / language.TEMPER if len(gs) >= how.least_trigrams else 0.0 for s in shares] for k, gs in grams.items()}
+    normal = lambda x: [math.exp(v - max(x)) / sum(math.exp(w - max(x)) for w in x) for v in x]
+    q = {k: normal(v) for k, v in logs.items()}
+    total = [sum(v[i] for v in q.values()) for i in range(classes)]
+    base = [(x + 1) / (sum(total) + classes) for x in total]
+    out = {}
+    for key, _, declared, suffix, host, parent in rows:
+        others = lambda at, value: [sum(q[r[0]][i] for r in rows if r[at] == value and r[0] != key) if value is not None else 0.0 for i in range(classes)]
+        up = [(x + how.smoothing * b) / (sum(others(5, parent)) + how.smoothing) for x, b in zip(others(5, parent), base, strict=True)]
+        here = others(4, host)
+        prior = base if host is None else [(x + how.smoothing * u) / (sum(here) + how.smoothing) for x, u in zip(here, up, strict=True)]
+        score = [a + math.log(b) for a, b in zip(logs[key], prior, strict=True)]
+        for at, value in ((2, declared), (3, suffix)):
+            seen = others(at, value)
+            if value is not None and sum(seen) > 1e-12:
+                overall = sum(seen) / sum(total)
+                score = [s + math.log((x + how.smoothing * overall) / (t - own + how.smoothing)) for s, x, t, own in zip(score, seen, total, q[key], strict=True)]
+        p = normal(score)
+        out[key] = ([*known, language.OTHER][p.index(max(p))], max(p))
+    return out
+
+
+def test_posteriors_match_plain_python(spark):
+    seed = {"de": "der die und das ist nicht ein zu", "en": "the and that is not with we have", "es": "el la los que no una con para", "fr": "le les que ne pas une avec pour"}
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        tongue = rng.choice(sorted(seed))
+        rows.append((i, " ".join(rng.choices(seed[tongue].split(), k=rng.randint(1, 12))), rng.choice([tongue, None, "xx"]), rng.choice(["com", "de", None]), rng.choice([f"{tongue}.a.com", "b.a.com", None]), rng.choice(["a.com", None])))
+    rows += [(100, None, "de", None, "de.a.com", "a.com"), (101, "", None, None, None, None), (102, rows[0][1], *rows[0][2:])]
+    df = spark.createDataFrame(rows, "page_id long, text string, __declared string, __suffix string, __host string, __parent string")
+    want = plain_posteriors(rows, language.Languages())
+    for r in language.identify(df, "text", ["page_id"]).collect():
+        assert r.p == pytest.approx(want[r.page_id][1], rel=1e-6)
+        assert r.lang == want[r.page_id][0]
+
+
 def test_other_languages_and_junk_are_not_accepted(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.col("lang").alias("__declared"), F.col("source").alias("__host"))
     odd = {
