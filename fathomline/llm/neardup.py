@@ -65,6 +65,14 @@ def registers(ascending: np.ndarray) -> np.ndarray:
     return out
 
 
+def large_bands(like: Likeness) -> int:
+    """Bands of the largest sets: as few and wide as leave a linked pair without a common one with a chance under MISSED."""
+    for width in range(REGISTERS, 1, -1):
+        if (1 - (like.num / like.den) ** width) ** (REGISTERS // width) <= MISSED:
+            return REGISTERS // width
+    return REGISTERS
+
+
 def levels(like: Likeness) -> list[tuple[int, int, int]]:
     """(smallest size, largest size, bands) of each level of set sizes; the last has no largest.
 
@@ -72,7 +80,7 @@ def levels(like: Likeness) -> list[tuple[int, int, int]]:
     one set only are at most (1 - num / den) of it; that many bands and one more suffice.
     """
     out, low, bands = [], 1, 1
-    while bands < REGISTERS and (bands < 32 or (1 - (like.num / like.den) ** (REGISTERS // bands)) ** bands > MISSED):
+    while bands < large_bands(like):
         high = low - 1
         while (like.den - like.num) * ((high + 1) * like.den // like.num) // like.den < bands:
             high += 1
@@ -80,7 +88,7 @@ def levels(like: Likeness) -> list[tuple[int, int, int]]:
             out.append((low, high, bands))
             low = high + 1
         bands *= 2
-    return [*out, (low, 1 << 62, bands)]
+    return [*out, (low, 1 << 62, large_bands(like))]
 
 
 @cache
@@ -120,8 +128,11 @@ def band_keys(table: np.ndarray, sizes: np.ndarray, like: Likeness) -> list[np.n
         if not len(rows):
             continue
         order = np.random.default_rng(turn).permutation(REGISTERS) if turn else np.arange(REGISTERS)
-        part = table[rows][:, order].reshape(len(rows), bands, -1)
-        words = np.ascontiguousarray(part).view(f"u{min(8, 2 * part.shape[2])}").astype(np.uint64)
+        width = REGISTERS // bands
+        part = table[rows][:, order[: bands * width]].reshape(len(rows), bands, width)
+        padded = np.zeros((len(rows), bands, -(-width // 4) * 4), np.uint16)
+        padded[:, :, :width] = part
+        words = padded.view(np.uint64)
         key = mix(np.arange(bands, dtype=np.uint64) + np.uint64((turn * 16 + level) * REGISTERS + 1))[None, :].repeat(len(rows), 0)
         for w in range(words.shape[2]):
             key = mix(key ^ words[:, :, w]) + np.uint64(w)
@@ -237,52 +248,80 @@ def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _linked_in_blocks(x: DataFrame, y: DataFrame, sigs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b) between rows of x and rows of y (key, id, component) of one key and different components.
+CELL = ("kind", "key", "bx", "by")
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """Cells (CELL, side, id, component) in which all rows (key, id, component) of a key meet each other once, SIEVE by SIEVE.
+
+    side: 0 and 1 for the rows of the two blocks of a cell, 2 for those of a block with itself.
+    """
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / SIEVE).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+    each = rows.join(blocks, "key").select("key", "id", "component", own.alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    return each.select(F.lit(0).alias("kind"), "key", F.least("b", "o").alias("bx"), F.greatest("b", "o").alias("by"), side.alias("side"), "id", "component")
+
+
+def _across(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Cells in which all rows of x meet all rows of y (both key, id, component) of their key."""
+    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / SIEVE).cast("int").alias(name))
+    cells = blocks(x, "nx").join(blocks(y, "ny"), "key")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = lambda rows, bx, by, side: rows.join(cells, "key").select(F.lit(1).alias("kind"), "key", bx.alias("bx"), by.alias("by"), F.lit(side).alias("side"), "id", "component")
+    return placed(x, own("nx"), over("ny"), 0).union(placed(y, over("nx"), own("ny"), 1))
+
+
+def _linked_in_cells(cells: DataFrame, sigs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) between the rows of each cell that are in different components.
 
-    All rows of a key are compared on their registers, SIEVE by SIEVE inside a task. Those
-    that may have a link are compared on their full sets, BLOCK by BLOCK; of the links of an
-    id to one component the first is returned.
+    All rows of a cell are compared on their registers inside a task. Those that may have a
+    link are compared on their full sets, BLOCK by BLOCK; of the links of an id to one
+    component the first is returned.
     """
-    cell = ["key", "bx", "by", "ix", "iy"]
+    finer = [*CELL, "ix", "iy"]
+
+    def halves(t: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
+        side = t.column("side").to_numpy()
+        return t.filter(pa.array(side != 1)), t.filter(pa.array(side != 0)), bool((side == 2).all())
+
+    def apart(x: pa.Table, y: pa.Table, same: bool) -> np.ndarray:
+        parts = [t.column("component").to_numpy() for t in (x, y)]
+        return np.triu(parts[0][:, None] != parts[1][None], 1) if same else parts[0][:, None] != parts[1][None]
 
-    def sieve(x: pa.Table, y: pa.Table) -> pa.Table:
+    def sieve(t: pa.Table) -> pa.Table:
+        x, y, same = halves(t)
         out = []
         if len(x) and len(y):
-            part = lambda t, c: t.column(c).to_numpy()
             rows = [np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, REGISTERS) for t in (x, y)]
-            close = alike(*rows, part(x, "n"), part(y, "n"), like) & (part(x, "component")[:, None] != part(y, "component")[None])
+            close = alike(*rows, *(t.column("n").to_numpy() for t in (x, y)), like) & apart(x, y, same)
             for i in range(0, len(x), BLOCK):
-                for j in range(0, len(y), BLOCK):
+                for j in range(i if same else 0, len(y), BLOCK):
                     some = close[i : i + BLOCK, j : j + BLOCK]
-                    for side, (t, at) in enumerate(((x, i + np.flatnonzero(some.any(axis=1))), (y, j + np.flatnonzero(some.any(axis=0))))):
+                    left, right = some.any(axis=1), some.any(axis=0)
+                    for side, t, at in ((2, x, i + np.flatnonzero(left | right)),) if same and i == j else ((0, x, i + np.flatnonzero(left)), (1, y, j + np.flatnonzero(right))):
                         place = [pa.array(np.full(len(at), v, np.int32)) for v in (i, j, side)]
-                        out.append(pa.table([*(t.column(c).take(pa.array(at)) for c in ("key", "bx", "by")), *place, *(t.column(c).take(pa.array(at)) for c in ("id", "component"))], [*cell, "side", "id", "component"]))
+                        out.append(pa.table([*(t.column(c).take(pa.array(at)) for c in CELL), *place, *(t.column(c).take(pa.array(at)) for c in ("id", "component"))], shape.names))
         return pa.concat_tables([shape.empty_table(), *out])
 
-    shape = pa.schema([("key", pa.int64()), *((c, pa.int32()) for c in (*cell[1:], "side")), ("id", pa.int64()), ("component", pa.int64())])
+    kinds = {"kind": pa.int32(), "key": pa.int64(), "id": pa.int64(), "component": pa.int64()}
+    shape = pa.schema([(c, kinds.get(c, pa.int32())) for c in (*finer, "side", "id", "component")])
 
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+    def compare(t: pa.Table) -> pa.Table:
+        x, y, same = halves(t)
         sets = [shingle_sets(t.column("text").combine_chunks(), like.words) for t in (x, y)]
         n, m = (np.array([len(s) for s in side], np.int64) for side in sets)
         both = _shared_counts(*sets)
-        parts = [t.column("component").to_numpy() for t in (x, y)]
-        i, j = np.nonzero((both * like.den >= like.num * (n[:, None] + m[None, :] - both)) & (parts[0][:, None] != parts[1][None, :]))
-        first = np.unique(np.stack([i, np.unique(parts[1], return_inverse=True)[1][j]]), axis=1, return_index=True)[1] if len(i) else []
+        i, j = np.nonzero((both * like.den >= like.num * (n[:, None] + m[None, :] - both)) & apart(x, y, same))
+        parts = y.column("component").to_numpy()
+        first = np.unique(np.stack([i, np.unique(parts, return_inverse=True)[1][j]]), axis=1, return_index=True)[1] if len(i) else []
         pair = np.stack([x.column("id").to_numpy()[i[first]], y.column("id").to_numpy()[j[first]]]) if len(i) else np.zeros((2, 0), np.int64)
         return pa.table([pa.array(pair.min(axis=0)), pa.array(pair.max(axis=0))], ["a", "b"])
 
-    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count("*") / SIEVE).cast("int").alias(name))
-    cells = blocks(x, "nx").join(blocks(y, "ny"), "key")
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = x.join(cells, "key").select("key", "id", "component", place("nx").alias("bx"), over("ny").alias("by"))
-    y = y.join(cells, "key").select("key", "id", "component", over("nx").alias("bx"), place("ny").alias("by"))
-    fresh = lambda side, *names: side.select(*(F.col(c).alias(c) for c in names))
-    x, y = (fresh(side.join(sigs, "id"), "key", "bx", "by", "id", "component", "n", "sig").groupBy("key", "bx", "by") for side in (x, y))
-    near = settle(x.cogroup(y).applyInArrow(sieve, "key long, bx int, by int, ix int, iy int, side int, id long, component long"))
-    x, y = (fresh(near.where(F.col("side") == k).join(texts, "id"), *cell, "id", "component", "text").groupBy(*cell) for k in (0, 1))
-    return x.cogroup(y).applyInArrow(compare, "a long, b long")
+    long = ("key", "id", "component")
+    near = cells.join(sigs, "id").groupBy(*CELL).applyInArrow(sieve, ", ".join(f"{c} {'long' if c in long else 'int'}" for c in shape.names))
+    return settle(near).join(texts, "id").groupBy(*finer).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness | None = None) -> DataFrame:
@@ -337,9 +376,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = outside.select(F.col("main").alias("key"), "id", "component").distinct()
     more = linked(all_pairs(bucket.where(F.col("pairs") <= FEW)))
     if not outside.isEmpty():
-        outside = outside.drop("main")
-        for x, y in ((met, home), (outside, outside)):
-            more = more.union(settle(_linked_in_blocks(x, y, sigs, texts, like)))
+        cells = _across(met, home).union(_within(outside.drop("main")))
+        more = more.union(settle(_linked_in_cells(cells, sigs, texts, like)))
     if not more.isEmpty():
         found = components(links.union(more))
 
