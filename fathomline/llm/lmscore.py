@@ -229,3 +229,22 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
     scores = backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), plain_scan=True)
     per_word = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return scores.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 4).alias("log_score"), per_word.alias("per_word"), "seen_1", "seen_2", "seen_3")
+
+
+#: The same scores from one row for each n-gram of each document.
+OP2_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, k, array_to_string(w[i-k+1:i], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) p, range(1, 4) r(k) WHERE i >= k),
+own AS MATERIALIZED (SELECT doc_id, k, gram, count(*) AS own FROM g GROUP BY ALL),
+total AS MATERIALIZED (SELECT k, gram, sum(own) AS total FROM own GROUP BY ALL),
+others AS MATERIALIZED (SELECT doc_id, own.k, gram, (total - own)::DOUBLE AS c FROM own JOIN total USING (k, gram)),
+size AS (SELECT sum(len(w)) AS words FROM w),
+seen AS MATERIALIZED (SELECT g.doc_id, g.i, g.k, c FROM g JOIN others USING (doc_id, k, gram)),
+place AS MATERIALIZED (SELECT doc_id, i, max(c) FILTER (WHERE k = 1) AS c1, max(c) FILTER (WHERE k = 2) AS c2, max(c) FILTER (WHERE k = 3) AS c3 FROM seen GROUP BY doc_id, i),
+scored AS (SELECT p.doc_id, CASE WHEN p.c3 > 0 THEN 3 WHEN p.c2 > 0 THEN 2 WHEN p.c1 > 0 THEN 1 ELSE 0 END AS used,
+  CASE WHEN p.c3 > 0 THEN ln(p.c3 / b.c2) WHEN p.c2 > 0 THEN ln((CASE WHEN p.i >= 3 THEN 0.4::DOUBLE ELSE 1 END) * p.c2 / b.c1)
+    ELSE ln(pow(0.4::DOUBLE, least(p.i, 3) - (CASE WHEN p.c1 > 0 THEN 1 ELSE 0 END)) * (CASE WHEN p.c1 > 0 THEN p.c1 ELSE 1 END) / greatest(words - len(w.w), 1)) END AS s
+  FROM place p JOIN w USING (doc_id) CROSS JOIN size LEFT JOIN place b ON b.doc_id = p.doc_id AND b.i = p.i - 1),
+sums AS (SELECT doc_id, sum(s) AS s, count(*) FILTER (WHERE used = 1) AS u1, count(*) FILTER (WHERE used = 2) AS u2, count(*) FILTER (WHERE used = 3) AS u3 FROM scored GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS per_word, coalesce(u1, 0)::BIGINT AS seen_1, coalesce(u2, 0)::BIGINT AS seen_2, coalesce(u3, 0)::BIGINT AS seen_3
+FROM w LEFT JOIN sums USING (doc_id)"""

@@ -390,3 +390,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op1_query(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), like=Likeness(words=3, num=85, den=100))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+#: All pairs that share a shingle, exactly, then the smallest id that labels can carry over their links.
+OP1_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM w),
+sz AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+hit AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+pr AS MATERIALIZED (SELECT a, b FROM hit JOIN sz p ON p.doc_id = a JOIN sz q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+two AS MATERIALIZED (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr),
+reach(id, low) AS (SELECT DISTINCT a, a FROM two UNION SELECT two.b, reach.low FROM reach JOIN two ON two.a = reach.id AND reach.low < two.b),
+lowest AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, w.doc_id <= coalesce(low, w.doc_id) AS kept
+FROM w LEFT JOIN sz USING (doc_id) LEFT JOIN lowest ON lowest.id = w.doc_id"""

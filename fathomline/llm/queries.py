@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from fathomline.llm.bytepair import op5_query
 from fathomline.llm.fixity import OP9_SQL, op9_query
 from fathomline.llm.language import op4_query
-from fathomline.llm.lmscore import op2_query
-from fathomline.llm.neardup import op1_query
+from fathomline.llm.lmscore import OP2_SQL, op2_query
+from fathomline.llm.neardup import OP1_SQL, op1_query
 from fathomline.llm.neighbours import op3_query
 from fathomline.llm.packing import op6_query
 from fathomline.llm.quality import op8_query
@@ -31,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_neardup": OP1_SQL,
+    "op2_lmscore": OP2_SQL,
     "op9_fixity": OP9_SQL,
 }
