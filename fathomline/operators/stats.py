@@ -1,16 +1,38 @@
 """Resampling statistics over score vectors keyed by example.
 
-The portable draws come from MD5, so any SQL engine repeats them; `numpy_interval` uses
-numpy's generator instead and equals what a numpy program with the same seed prints.
+The portable draws come from integer arithmetic, so any SQL engine repeats them;
+`numpy_interval` uses numpy's generator instead and equals what a numpy program with the same
+seed prints. A key of up to MOST_VALUES scores goes to tasks as one array, and each task draws
+a block of rounds; larger ones are drawn as rows, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Most scores of a key that are sent as one array (32 MB), rounds of a block, and draws made at once.
+MOST_VALUES, BLOCK, DRAWS = 1 << 22, 250, 1 << 20
+#: Draws are integers below this prime.
+MODULUS = (1 << 31) - 1
+
+
+def _draw(round_, i, seed: int, folded: Callable):
+    """A pseudo-random integer below MODULUS for each round and place; folded(v, k): v xor (v >> k)."""
+    x = (round_ * 48271 + seed) % MODULUS
+    y = (x * 69621 + i * 16807 + 12345) % MODULUS
+    z = (folded(y, 13) * 39373) % MODULUS
+    return folded((folded(z, 7) * 62089911) % MODULUS, 11)
 
-from fathomline.functions.vectors import portable_hash
+
+def _draw_column(round_: Column, i: Column, seed: int) -> Column:
+    return _draw(round_.cast("bigint"), i, seed, lambda v, k: v.bitwiseXOR(F.shiftright(v, k)))
 
 
 def facts(df: DataFrame, condition: str, example: str, values: dict[str, Column]) -> DataFrame:
@@ -26,13 +48,40 @@ def _placed(scores: DataFrame, key: list[str]) -> DataFrame:
     return scores.withColumns({"i": (F.row_number().over(own.orderBy("example")) - 1).cast("bigint"), "n": F.count("*").over(own)})
 
 
+def _round_means(scores: DataFrame, key: list[str], value: str, rounds: int, seed: int, flip: bool) -> DataFrame:
+    """key, round, mean to six digits: of n draws with replacement, or (flip) of all values under random signs."""
+    largest = scores.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if largest > MOST_VALUES:
+        placed = _placed(scores, key)
+        draws = placed.select(*key, "i", "n", F.col(value).alias("own"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+        drawn = draws.withColumn("pick", _draw_column(F.col("round"), F.col("i"), seed) % (F.lit(2) if flip else F.col("n")))
+        if flip:
+            drawn = drawn.withColumn("v", F.when(F.col("pick") == 0, F.col("own")).otherwise(-F.col("own")))
+        else:
+            drawn = drawn.join(placed.select(*key, F.col("i").alias("pick"), F.col(value).alias("v")), [*key, "pick"])
+        return drawn.groupBy(*key, "round").agg(F.round(F.avg("v"), 6).alias("mean"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                v = batch.column("v")[row].values.to_numpy(zero_copy_only=False)
+                first, i, out = batch.column("block")[row].as_py() * BLOCK + 1, np.arange(len(v), dtype=np.int64), []
+                each = np.arange(first, min(first + BLOCK, rounds + 1), dtype=np.int64)
+                for low in range(0, len(each), at_once := max(1, DRAWS // len(v))):
+                    drawn = _draw(each[low : low + at_once, None], i, seed, lambda v, k: v ^ (v >> k))
+                    out.append(np.where(drawn % 2 == 0, v, -v).mean(axis=1) if flip else v[drawn % len(v)].mean(axis=1))
+                own = [pa.repeat(batch.column(c)[row], len(each)) for c in key]
+                yield pa.record_batch([*own, pa.array(each), pa.array(np.concatenate(out))], [*key, "round", "mean"])
+
+    lists = scores.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("example", F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("v"))
+    blocks = lists.select("*", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // BLOCK))).alias("block")).repartition(*key, "block")
+    shape = T.StructType([*scores.select(*key).schema.fields, T.StructField("round", T.LongType()), T.StructField("mean", T.DoubleType())])
+    return blocks.mapInArrow(draw, shape).withColumn("mean", F.round("mean", 6))
+
+
 def resampled(scores: DataFrame, key: list[str], value: str, rounds: int, seed: int) -> DataFrame:
     """key, round, mean: the mean of n draws with replacement in each round, to six digits."""
-    placed = _placed(scores, key)
-    draws = placed.select(*key, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    drawn = draws.withColumn("pick", portable_hash(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("i").cast("string"))) % F.col("n"))
-    values = placed.select(*key, F.col("i").alias("pick"), F.col(value).alias("v"))
-    return drawn.join(values, [*key, "pick"]).groupBy(*key, "round").agg(F.round(F.avg("v"), 6).alias("mean"))
+    return _round_means(scores, key, value, rounds, seed, flip=False)
 
 
 def interval(scores: DataFrame, key: list[str], value: str = "value", rounds: int = 10_000, seed: int = 42) -> DataFrame:
@@ -66,10 +115,7 @@ def all_differences(scores: DataFrame) -> DataFrame:
 
 def sign_flip(scores: DataFrame, key: list[str], value: str = "value", rounds: int = 10_000, seed: int = 42) -> DataFrame:
     """key, mean, p: the share of rounds with random signs whose mean is as far from 0, counting the observed one."""
-    placed = _placed(scores, key)
-    flips = placed.select(*key, "i", F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    bit = portable_hash(F.concat_ws("|", F.lit(f"s{seed}"), F.col("round").cast("string"), F.col("i").cast("string"))) % 2
-    means = flips.groupBy(*key, "round").agg(F.round(F.avg(F.when(bit == 0, F.col("v")).otherwise(-F.col("v"))), 6).alias("m"))
+    means = _round_means(scores, key, value, rounds, seed + 1, flip=True).withColumnRenamed("mean", "m")
     seen = scores.groupBy(*key).agg(F.round(F.avg(value), 6).alias("mean"))
     extreme = F.count_if(F.abs("m") >= F.abs("mean"))
     return means.join(seen, key).groupBy(*key, "mean").agg(((extreme + 1) / (F.count("*") + 1)).alias("p"))
@@ -80,8 +126,6 @@ def numpy_interval(scores: DataFrame, key: list[str], value: str = "value", roun
     fields = scores.select(*key).schema
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         v = frame.sort_values("example")[value].to_numpy()
         rng = np.random.default_rng(seed)
         means = v[rng.integers(0, len(v), size=(rounds, len(v)))].mean(axis=1)

@@ -243,7 +243,7 @@ def score_fact(spark, sf_dir):
     return _facts(spark, sf_dir)
 
 
-ROUNDS = 200
+ROUNDS = 10_000
 
 
 def bootstrap_ci(spark, sf_dir):
@@ -272,7 +272,8 @@ def permutation_test(spark, sf_dir):
 def pairwise_report(spark, sf_dir):
     diffs = stats.all_differences(_facts(spark, sf_dir))
     out = stats.interval(diffs, ["a", "b"], rounds=ROUNDS).join(stats.sign_flip(diffs, ["a", "b"], rounds=ROUNDS).select("a", "b", "p"), ["a", "b"])
-    return out.select("a", "b", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")), F.round("p", 6).alias("p"))
+    flags = ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant_ci"), (F.col("p") < 0.05).alias("significant_p")
+    return out.select("a", "b", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")), F.round("p", 6).alias("p"), *flags)
 
 
 def report_qa(spark, sf_dir):
@@ -350,8 +351,17 @@ _TRACK = "count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_triggered, roun
 _FACTS = "facts AS MATERIALIZED (SELECT event_type AS condition, user_id AS example, 'value' AS field, round(avg(value), 9) AS value FROM events GROUP BY ALL HAVING avg(value) IS NOT NULL)"
 _PAIRED = """halves AS (SELECT user_id, event_id % 2 AS h, round(avg(value), 9) AS v FROM events GROUP BY ALL),
 facts AS MATERIALIZED (SELECT 'even|odd' AS condition, x.user_id AS example, round(x.v - y.v, 6) AS value FROM halves x JOIN halves y ON x.user_id = y.user_id AND x.h = 0 AND y.h = 1)"""
+
+
+def _drawn_sql(seed: int) -> str:
+    """placed with every round r and the draw h of each row and round."""
+    m = (1 << 31) - 1
+    y = f"SELECT placed.*, r, ((r * 48271 + {seed}) % {m} * 69621 + i * 16807 + 12345) % {m} AS y FROM placed, range(1, {ROUNDS + 1}) t(r)"
+    return f"SELECT *, xor(w, w >> 11) AS h FROM (SELECT *, xor(z, z >> 7) * 62089911 % {m} AS w FROM (SELECT *, xor(y, y >> 13) * 39373 % {m} AS z FROM ({y})))"
+
+
 _BOOT = f"""placed AS MATERIALIZED (SELECT condition, value, row_number() OVER (PARTITION BY condition ORDER BY example) - 1 AS i, count(*) OVER (PARTITION BY condition) AS n FROM facts),
-drawn AS (SELECT p.condition, r.r, ('0x' || substr(md5('42|' || r.r || '|' || p.i), 1, 8))::BIGINT % p.n AS pick FROM placed p, range(1, {ROUNDS + 1}) r(r)),
+drawn AS (SELECT condition, r, h % n AS pick FROM ({_drawn_sql(42)})),
 means AS (SELECT d.condition, r, round(avg(v.value), 6) AS m FROM drawn d JOIN placed v ON v.condition = d.condition AND v.i = d.pick GROUP BY d.condition, r),
 ends AS (SELECT condition, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY condition),
 ci AS (SELECT condition, round(avg(value), 4) AS mean, round(any_value(low), 4) AS low, round(any_value(high), 4) AS high FROM facts JOIN ends USING (condition) GROUP BY condition)"""
@@ -396,9 +406,17 @@ ORACLES = {
     "bootstrap_ci": f"WITH {_FACTS}, {_BOOT} SELECT condition, mean, low, high FROM ci",
     "paired_bootstrap": f"WITH {_PAIRED}, {_BOOT} SELECT 'even' AS a, 'odd' AS b, mean, low, high, low > 0 OR high < 0 AS significant FROM ci",
     "permutation_test": f"""WITH {_PAIRED}, placed AS (SELECT value, row_number() OVER (ORDER BY example) - 1 AS i FROM facts),
-      flips AS (SELECT r.r, round(avg(CASE WHEN ('0x' || substr(md5('s42|' || r.r || '|' || i), 1, 8))::BIGINT % 2 = 0 THEN value ELSE -value END), 6) AS m FROM placed, range(1, {ROUNDS + 1}) r(r) GROUP BY r.r),
+      flips AS (SELECT r, round(avg(CASE WHEN h % 2 = 0 THEN value ELSE -value END), 6) AS m FROM ({_drawn_sql(43)}) GROUP BY r),
       seen AS (SELECT round(avg(value), 6) AS mean FROM facts)
       SELECT 'even' AS a, 'odd' AS b, round(mean, 4) AS mean, round((count(*) FILTER (WHERE abs(m) >= abs(mean)) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM flips, seen GROUP BY mean""",
+    "pairwise_report": f"""WITH {_FACTS.replace("facts AS", "scores AS")}, sizes AS (SELECT condition, count(*) AS n FROM scores GROUP BY condition),
+      met AS (SELECT x.condition AS a, y.condition AS b, x.example, x.value - y.value AS value FROM scores x JOIN scores y ON x.example = y.example AND x.condition < y.condition),
+      fit AS (SELECT a, b FROM (SELECT a, b, count(*) AS m FROM met GROUP BY a, b) c JOIN sizes p ON p.condition = a JOIN sizes q ON q.condition = b WHERE m = p.n AND m = q.n),
+      facts AS MATERIALIZED (SELECT a || '|' || b AS condition, example, value FROM met JOIN fit USING (a, b)), {_BOOT},
+      flips AS (SELECT condition, r, round(avg(CASE WHEN h % 2 = 0 THEN value ELSE -value END), 6) AS m FROM ({_drawn_sql(43)}) GROUP BY condition, r),
+      seen AS (SELECT condition, round(avg(value), 6) AS mean FROM facts GROUP BY condition),
+      p AS (SELECT condition, round((count(*) FILTER (WHERE abs(m) >= abs(mean)) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM flips JOIN seen USING (condition) GROUP BY condition)
+      SELECT split_part(condition, '|', 1) AS a, split_part(condition, '|', 2) AS b, mean, low, high, p, low > 0 OR high < 0 AS significant_ci, p < 0.05 AS significant_p FROM ci JOIN p USING (condition)""",
     "report_qa": f"WITH {_FACTS}, {_BOOT}, registry AS (SELECT unnest(['click', 'purchase', 'view', 'signup', 'logout', 'never_run']) AS condition) SELECT condition, mean, low, high FROM registry LEFT JOIN ci USING (condition)",
     "dq_checks": f"""WITH c AS (SELECT 'documents.text present' AS name, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_bad, true AS fatal FROM documents
       UNION ALL SELECT 'documents.long enough', count(*) FILTER (WHERE len({_WORDS('text')}) < 5), false FROM documents

@@ -248,3 +248,20 @@ def test_vectors(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1.0, 1.0, 0.0])], "v array<array<double>>, m array<double>")
     assert df.select(V.pooled(F.col("v"), F.col("m")).alias("p")).first().p == [2.0, 3.0]
     assert one(spark, V.unit(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
+
+
+def test_draws_as_arrays_and_as_rows_agree(spark, monkeypatch):
+    scores = spark.createDataFrame([(c, i, float((i * 37 + len(c)) % 11)) for c in ("a", "bb") for i in range(40)], "condition string, example int, value double")
+    got = []
+    for most in (1 << 22, 1):
+        monkeypatch.setattr(stats, "MOST_VALUES", most)
+        both = stats.interval(scores, ["condition"], rounds=600).join(stats.sign_flip(scores, ["condition"], rounds=600).select("condition", "p"), "condition")
+        got.append(sorted(map(tuple, both.collect())))
+    assert got[0] == [pytest.approx(r) for r in got[1]]
+
+
+def test_portable_draws_give_numpys_interval(spark):
+    scores = spark.createDataFrame([("c", i, float(i * i % 101)) for i in range(300)], "condition string, example int, value double")
+    ours, theirs = (f(scores, ["condition"]).first() for f in (stats.interval, stats.numpy_interval))
+    width = theirs.high - theirs.low
+    assert abs(ours.low - theirs.low) < 0.05 * width and abs(ours.high - theirs.high) < 0.05 * width
