@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Characters of words for the lexical index: letters and digits of any script, and the underscore.
 TERM = r"[\p{L}\p{N}_]+"
+#: White space of any script, for Java's and RE2's regular expressions alike.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def terms(text: Column) -> Column:
@@ -16,9 +18,14 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def words(text: Column) -> Column:
     """White-space separated words in order."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
 
 
 def joined(items: Column) -> Column:
@@ -33,8 +40,8 @@ def truncated(text: Column, most: int, keep_short: bool = False) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between a full stop, question or exclamation mark and white space before a capital or digit."""
-    parts = F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+(?=[A-Z0-9])")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.split(stripped(F.coalesce(text, F.lit(""))), rf"(?<=[.!?]){SPACE}+(?=[A-Z0-9])")
+    return F.filter(F.transform(parts, stripped), lambda s: s != "")
 
 
 def runs(items: Column, k: int) -> Column:
@@ -67,26 +74,55 @@ def json_array(text: Column) -> Column:
 
 def normal_term(text: Column, collapse: bool = True) -> Column:
     """Stripped and lower-cased; white space inside collapsed unless told otherwise."""
-    low = F.lower(F.trim(text))
-    return F.regexp_replace(low, r"\s+", " ") if collapse else low
+    low = F.lower(stripped(text))
+    return F.regexp_replace(low, f"{SPACE}+", " ") if collapse else low
 
 
-def strings_of(variant: Column) -> Column:
-    """A list-or-scalar JSON value as strings: a list's items, or a string split at commas; anything else is empty."""
+def strings_of(variant: Column, nested: bool = False) -> Column:
+    """A list-or-scalar JSON value as strings: a list's items, or a string split at commas; anything else is empty.
+
+    nested: items may be objects, which stand for their name, or for their JSON text without one.
+    """
     kind = F.schema_of_variant(variant)
-    items = F.transform(F.try_variant_get(variant, "$", "array<variant>"), lambda v: F.trim(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))))
-    parts = F.transform(F.split(F.try_variant_get(variant, "$", "string"), ","), lambda x: F.trim(x))
+    plain = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+    named = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.coalesce(F.try_variant_get(v, "$.name", "string"), F.to_json(v))).otherwise(plain(v))
+    items = F.transform(F.try_variant_get(variant, "$", "array<variant>"), lambda v: stripped(named(v) if nested else plain(v)))
+    parts = F.transform(F.split(F.try_variant_get(variant, "$", "string"), ","), stripped)
     chosen = F.when(F.startswith(kind, F.lit("ARRAY")), items).when(kind == "STRING", parts)
     return F.filter(F.coalesce(chosen, F.array().cast("array<string>")), lambda x: x != "")
 
 
-def keywords(text: Column, key: str) -> Column:
+def keywords(text: Column, key: str, nested: bool = False) -> Column:
     """The strings under `key` of the JSON object that a text is or holds; malformed or missing gives none."""
     whole = F.try_parse_json(text)
     inner = F.try_parse_json(json_object(text))
     is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     value = F.when(whole.isNotNull() & is_object(whole), whole).when(inner.isNotNull() & is_object(inner), inner)
-    return strings_of(F.try_variant_get(value, f"$.{key}", "variant"))
+    return strings_of(F.try_variant_get(value, f"$.{key}", "variant"), nested)
+
+
+#: What stands in a report for a number that is not there yet.
+PLACEHOLDER = "--"
+
+
+def fixed(value: Column, places: int = 4) -> Column:
+    """A number with so many places, or PLACEHOLDER."""
+    return F.when(value.isNull(), F.lit(PLACEHOLDER)).otherwise(F.format_string(f"%.{places}f", value.cast("double")))
+
+
+def mean_interval(mean: Column, low: Column, high: Column, percent: bool = False, places: int = 4) -> Column:
+    """"mean [low, high]", as percentages with two places if asked; PLACEHOLDER without a mean."""
+    shown = lambda x: F.format_string(f"%.{2 if percent else places}f", x.cast("double") * (100 if percent else 1))
+    return F.when(mean.isNull(), F.lit(PLACEHOLDER)).otherwise(F.concat(shown(mean), F.lit(" ["), shown(low), F.lit(", "), shown(high), F.lit("]")))
+
+
+def plus_minus(mean: Column, deviation: Column, places: int = 2) -> Column:
+    return F.concat(fixed(mean, places), F.lit(" ± "), fixed(deviation, places))
+
+
+def sign(value: Column) -> Column:
+    """"+" for zero and above, else nothing, as the minus belongs to the number."""
+    return F.when(value >= 0, "+").otherwise("")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -33,6 +33,11 @@ def pooled(vectors: Column, mask: Column) -> Column:
     return F.transform(total, lambda x: x / weight)
 
 
+def first_token(vectors: Column) -> Column:
+    """The vector of the first token, for encoders that pool there."""
+    return F.get(vectors, F.lit(0))
+
+
 def portable_hash(text: Column) -> Column:
     """The first 32 bits of MD5 as an integer; the same in any SQL engine with md5."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import joined, words
+from fathomline.functions.text import joined, stripped, words
+from fathomline.operators import dedup
+from fathomline.sources.store import settle
 
 
 def mapped(df: DataFrame, field_map: Mapping[str, str]) -> DataFrame:
@@ -18,7 +20,7 @@ def mapped(df: DataFrame, field_map: Mapping[str, str]) -> DataFrame:
 
 def body_of(parts: Column) -> Column:
     """Non-empty parts of a list, one a line, stripped."""
-    return F.trim(F.array_join(F.filter(parts, lambda p: F.coalesce(F.trim(p), F.lit("")) != ""), "\n"))
+    return stripped(F.array_join(F.filter(parts, lambda p: F.coalesce(stripped(p), F.lit("")) != ""), "\n"))
 
 
 def sampled(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -30,7 +32,7 @@ def sections(df: DataFrame, names: tuple[str, ...] = ("title", "abstract", "body
     """One row for each non-empty section column, with its ordinal; the section columns go."""
     rest = [c for c in df.columns if c not in names]
     each = F.array(*(F.struct(F.lit(n).alias("section"), F.col(n).alias("text")) for n in names))
-    return df.select(*rest, F.posexplode(each).alias("section_ord", "s")).select(*rest, "section_ord", "s.section", "s.text").where(F.trim("text") != "")
+    return df.select(*rest, F.posexplode(each).alias("section_ord", "s")).select(*rest, "section_ord", "s.section", "s.text").where(stripped(F.col("text")) != "")
 
 
 def chunks(df: DataFrame, text_col: str = "text", window: int = 256, overlap: int = 32, tokens: Column | None = None) -> DataFrame:
@@ -47,7 +49,7 @@ def chunks(df: DataFrame, text_col: str = "text", window: int = 256, overlap: in
     n = F.size("__t")
     count = F.when(n == 0, 0).when(n <= window, 1).otherwise(F.ceil((n - window) / step) + 1).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    pieces = F.filter(F.transform(starts, lambda i: F.slice("__t", i * step + 1, window)), lambda p: F.trim(joined(p)) != "")
+    pieces = F.filter(F.transform(starts, lambda i: F.slice("__t", i * step + 1, window)), lambda p: stripped(joined(p)) != "")
     return rows.select(*rest, F.posexplode(pieces).alias("chunk_idx", "__p")).select(*rest, "chunk_idx", joined(F.col("__p")).alias("chunk_text"), F.size("__p").alias("token_count"))
 
 
@@ -59,3 +61,15 @@ def corpus_counts(chunked: DataFrame, doc_col: str) -> DataFrame:
         F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint").alias("n_tokens"),
         F.coalesce(F.max("token_count"), F.lit(0)).cast("bigint").alias("longest"),
     )
+
+
+def corpus(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.85, window: int = 256, overlap: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(chunks kept, one row of counts): chunk, drop repeats of kept chunks, count.
+
+    Chunks are walked by document, then by place; the counts are documents, chunks seen and
+    chunks kept.
+    """
+    pieces = settle(chunks(df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", window, overlap).withColumn("ord", F.struct("doc", "chunk_idx")))
+    kept = settle(pieces.join(dedup.accepted(pieces, "ord", "chunk_text", threshold).where("kept").select("ord"), "ord", "left_semi").drop("ord"))
+    seen = pieces.agg(F.countDistinct("doc").alias("n_docs"), F.count("*").alias("n_seen"))
+    return kept, seen.crossJoin(F.broadcast(kept.agg(F.count("*").alias("n_kept"))))

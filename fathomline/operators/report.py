@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.text import words
+
 
 def pivoted(scores: DataFrame, row: str, cls: str, classes: Sequence[str], value: str) -> DataFrame:
     """One row for each `row` value with the mean of value in each class."""
@@ -64,6 +66,13 @@ def skyline(summary: DataFrame, more: str, less: str, tie: str) -> DataFrame:
     return summary.withColumn("__least", F.min(less).over(after)).where(F.col("__least").isNull() | (F.col(less) < F.col("__least"))).drop("__least")
 
 
+def scatter(rows: DataFrame, condition: str, text: str, score: str, limit: int = 150) -> DataFrame:
+    """rows with words, over (more words than the limit), and the means of words and score of their condition."""
+    points = rows.withColumn("words", F.size(words(F.col(text))).cast("bigint")).withColumn("over", F.col("words") > limit)
+    means = points.groupBy(condition).agg(F.avg("words").alias("words_mean"), F.avg(score).alias("score_mean"))
+    return points.join(means, condition)
+
+
 def checks(results: Sequence[DataFrame]) -> DataFrame:
     """name, status, n_bad: one row for each data-quality assertion frame of (name, n_bad, fatal)."""
     out = results[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import terms
+from fathomline.functions.text import stripped, terms
 from fathomline.functions.vectors import dot
 
 K1, B = 1.5, 0.75
@@ -16,18 +16,23 @@ RRF_OFFSET = 60
 QUERY_BLOCK = 4096
 NO_HITS = "(nothing was retrieved for this question)"
 RETRIEVAL_OFF = "(retrieval is switched off)"
+MODES = ("hybrid", "dense")
 
 
 def lexical_index(chunks: DataFrame, id_col: str, text_col: str) -> dict[str, DataFrame]:
-    """postings (term, id, tf), lengths (id, len), term_stats (term, df, idf), corpus_stats (n, avgdl)."""
+    """postings (term, id, tf, len), term_stats (term, df, idf), corpus_stats (n, avgdl); len: terms of the whole chunk."""
     tokens = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("terms"))
-    lengths = tokens.select("id", F.size("terms").cast("bigint").alias("len"))
-    postings = tokens.select("id", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    tokens = tokens.withColumn("len", F.size("terms").cast("bigint"))
+    postings = tokens.select("id", "len", F.explode("terms").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf")).select("term", "id", "tf", "len")
+    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return {"postings": postings, "term_stats": term_stats(postings, stats), "corpus_stats": stats}
+
+
+def term_stats(postings: DataFrame, corpus_stats: DataFrame) -> DataFrame:
+    """(term, df, idf)."""
     n, df = F.col("n").cast("double"), F.col("df").cast("double")
     idf = F.log((n - df + F.lit(0.5)) / (df + F.lit(0.5)) + F.lit(1.0))
-    term_stats = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
-    return {"postings": postings, "lengths": lengths, "term_stats": term_stats, "corpus_stats": stats}
+    return postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_stats)).select("term", "df", idf.alias("idf"))
 
 
 def bm25(index: dict[str, DataFrame], queries: DataFrame, query_id: str, query_text: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -36,7 +41,7 @@ def bm25(index: dict[str, DataFrame], queries: DataFrame, query_id: str, query_t
     weighted = asked.join(index["term_stats"].select("term", "idf"), "term")
     tf, length = F.col("tf").cast("double"), F.col("len").cast("double")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.col("avgdl")))
-    rows = weighted.join(index["postings"], "term").join(index["lengths"], "id").crossJoin(F.broadcast(index["corpus_stats"].select("avgdl")))
+    rows = weighted.join(index["postings"], "term").crossJoin(F.broadcast(index["corpus_stats"].select("avgdl")))
     return rows.groupBy("query", "id").agg(F.sum(part).alias("score"))
 
 
@@ -113,7 +118,7 @@ def context(hits: DataFrame, queries: DataFrame, query_id: str, text_col: str, d
     """(query, context): numbered hits by position, a blank line between; a fixed sentence where there are none."""
     if not retrieval:
         return queries.select(F.col(query_id).alias("query"), F.lit(RETRIEVAL_OFF).alias("context"))
-    entry = F.concat(F.lit("[Doc "), (F.col("position") + 1).cast("string"), F.lit(" | id="), F.col(doc_col).cast("string"), F.lit("]\n"), F.trim(text_col), F.lit("\n"))
+    entry = F.concat(F.lit("[Doc "), (F.col("position") + 1).cast("string"), F.lit(" | id="), F.col(doc_col).cast("string"), F.lit("]\n"), stripped(F.col(text_col)), F.lit("\n"))
     lists = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", entry.alias("e")))).alias("all"))
     made = lists.select("query", F.array_join(F.transform("all", lambda x: x["e"]), "\n").alias("context"))
     return queries.select(F.col(query_id).alias("query")).join(made, "query", "left").select("query", F.coalesce("context", F.lit(NO_HITS)).alias("context"))
@@ -122,9 +127,12 @@ def context(hits: DataFrame, queries: DataFrame, query_id: str, text_col: str, d
 def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, *, chunk_id: str, chunk_text: str, vec: str, query_id: str, query_text: str, query_vec: str, mode: str = "hybrid", scorer: Callable[[Column, Column], Column] | None = None, pool: int = 50, k: int = 5, threshold: float = 0.85) -> DataFrame:
     """(query, id, rank, score): the whole retrieval path for a batch of queries.
 
-    Any mode but "hybrid" ranks by the dense score alone. The score is the reranker's where
-    there is one, else the dense one, in the order of the ranking. An empty store gives no rows.
+    Mode "dense" ranks by the dense score alone; one that is not in MODES is an error. The
+    score is the reranker's where there is one, else the dense one, in the order of the
+    ranking. An empty store gives no rows.
     """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
     similar = dense(queries, vectors, query_id, query_vec, chunk_id, vec)
     if mode == "hybrid":
         pooled = fused(similar, bm25(lexical_index(chunks, chunk_id, chunk_text), queries, query_id, query_text), pool)

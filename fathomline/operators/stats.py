@@ -8,7 +8,7 @@ a block of rounds; larger ones are drawn as rows, with the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -113,12 +113,43 @@ def all_differences(scores: DataFrame) -> DataFrame:
     return pairs.join(full.select("a", "b"), ["a", "b"])
 
 
-def sign_flip(scores: DataFrame, key: list[str], value: str = "value", rounds: int = 10_000, seed: int = 42) -> DataFrame:
-    """key, mean, p: the share of rounds with random signs whose mean is as far from 0, counting the observed one."""
+def sign_flip(scores: DataFrame, key: list[str], value: str = "value", rounds: int = 10_000, seed: int = 42, observed: bool = True) -> DataFrame:
+    """key, mean, p: the share of rounds with random signs whose mean is as far from 0, counting the observed one unless told not to."""
     means = _round_means(scores, key, value, rounds, seed + 1, flip=True).withColumnRenamed("mean", "m")
     seen = scores.groupBy(*key).agg(F.round(F.avg(value), 6).alias("mean"))
     extreme = F.count_if(F.abs("m") >= F.abs("mean"))
-    return means.join(seen, key).groupBy(*key, "mean").agg(((extreme + 1) / (F.count("*") + 1)).alias("p"))
+    return means.join(seen, key).groupBy(*key, "mean").agg(((extreme + int(observed)) / (F.count("*") + int(observed))).alias("p"))
+
+
+def contrasts(scores: DataFrame, wanted: Sequence[tuple[str, str, str, float]], rounds: int = 10_000, seed: int = 42, observed: bool = True) -> DataFrame:
+    """a, b, field, delta, low, high, p, significant of the wanted (a, b, field, scale) rows, one each, in no order.
+
+    delta is a's mean less b's, with its paired bootstrap interval, times scale. Conditions
+    that are missing or do not hold the same examples give nulls and are not significant.
+    significant: the interval leaves out 0 and p is under 0.05.
+    """
+    spark = scores.sparkSession
+    asked = spark.createDataFrame([(a, b, f, float(s)) for a, b, f, s in wanted], "a string, b string, field string, scale double")
+    side = lambda c, v: scores.select(F.col("condition").alias(c), "field", "example", F.col("value").alias(v))
+    keys = asked.select("a", "b", "field").distinct()
+    both = F.broadcast(keys).join(side("a", "x"), ["a", "field"]).join(side("b", "y"), ["b", "field", "example"])
+    sizes = scores.groupBy("condition", "field").agg(F.count("*").alias("n"))
+    size = lambda c, n: sizes.select(F.col("condition").alias(c), "field", F.col("n").alias(n))
+    full = both.groupBy("a", "b", "field").agg(F.count("*").alias("m")).join(size("a", "na"), ["a", "field"]).join(size("b", "nb"), ["b", "field"]).where("m = na AND m = nb")
+    diffs = both.join(full.select("a", "b", "field"), ["a", "b", "field"]).select("a", "b", "field", "example", (F.col("x") - F.col("y")).alias("value"))
+    key = ["a", "b", "field"]
+    found = interval(diffs, key, rounds=rounds, seed=seed).join(sign_flip(diffs, key, rounds=rounds, seed=seed, observed=observed).select(*key, "p"), key)
+    out = asked.join(found, key, "left")
+    scaled = ((F.col(c) * F.col("scale")).alias(n) for c, n in (("mean", "delta"), ("low", "low"), ("high", "high")))
+    apart = ((F.col("low") > 0) | (F.col("high") < 0)) & (F.col("p") < 0.05)
+    return out.select(*key, *scaled, "p", F.coalesce(apart, F.lit(False)).alias("significant"))
+
+
+def aggregate(rows: DataFrame, condition: str, example: str, fields: Sequence[str], rounds: int = 10_000, seed: int = 42) -> DataFrame:
+    """condition, and for each field its mean and the ends of its 95 % bootstrap interval, as <field>_mean, <field>_ci_low, <field>_ci_high."""
+    each = interval(facts(rows, condition, example, {f: F.col(f) for f in fields}), ["condition", "field"], rounds=rounds, seed=seed)
+    pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    return each.groupBy("condition").agg(*(pick(f, c).alias(f"{f}_{n}") for f in fields for c, n in (("mean", "mean"), ("low", "ci_low"), ("high", "ci_high"))))
 
 
 def numpy_interval(scores: DataFrame, key: list[str], value: str = "value", rounds: int = 10_000, seed: int = 42) -> DataFrame:

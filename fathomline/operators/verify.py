@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import json_array, json_object, sentences
+from fathomline.functions.text import json_array, json_object, sentences, stripped
 
 #: Labels of the two verdict schemes, mildest first.
 LABELS3 = ("supported", "partial", "unsupported")
@@ -24,15 +24,23 @@ def representative(pairs: DataFrame, key: list[str]) -> DataFrame:
     return pairs.groupBy(*key).agg(F.bool_or("supported").alias("supported"), F.coalesce(first, F.min("chunk_pos")).alias("chunk_pos"), F.count("*").alias("n_chunks"))
 
 
-def unsupported_rate(queries: DataFrame, claims: DataFrame, judged: DataFrame, query: str = "query") -> DataFrame:
+def unsupported_rate(queries: DataFrame, claims: DataFrame, judged: DataFrame, query: str = "query", referenced: DataFrame | None = None) -> DataFrame:
     """query, n_claims, n_unsupported, rate: a claim without any judged pair is unsupported; no claims gives rate 1 and none unsupported.
 
+    referenced: the queries (query) that have a reference; others have no claims and a null
+    rate, which aggregates leave out.
+
     claims: (query, claim); judged: (query, claim, supported), one row for each claim with chunks.
     """
     each = claims.join(judged.select(query, "claim", "supported"), [query, "claim"], "left")
     counts = each.groupBy(query).agg(F.count("*").alias("n_claims"), F.count_if(~F.coalesce("supported", F.lit(False))).alias("n_unsupported"))
     zero = F.lit(0).cast("bigint")
-    return queries.select(query).join(counts, query, "left").select(query, F.coalesce("n_claims", zero).alias("n_claims"), F.coalesce("n_unsupported", zero).alias("n_unsupported"), F.coalesce(F.col("n_unsupported") / F.col("n_claims"), F.lit(1.0)).alias("rate"))
+    out = queries.select(query).join(counts, query, "left").select(query, F.coalesce("n_claims", zero).alias("n_claims"), F.coalesce("n_unsupported", zero).alias("n_unsupported"), F.coalesce(F.col("n_unsupported") / F.col("n_claims"), F.lit(1.0)).alias("rate"))
+    if referenced is None:
+        return out
+    known = referenced.select(query).distinct().withColumn("__known", F.lit(True))
+    keep = lambda c, other: F.when(F.col("__known"), F.col(c)).otherwise(other).alias(c)
+    return out.join(known, query, "left").select(query, keep("n_claims", zero), keep("n_unsupported", zero), keep("rate", F.lit(None).cast("double")))
 
 
 def claims_of(text: Column, extracted: Column | None = None) -> Column:
@@ -40,33 +48,34 @@ def claims_of(text: Column, extracted: Column | None = None) -> Column:
 
     An empty array counts as a failure. Empty text has no claims and has not failed.
     """
-    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    blank = stripped(F.coalesce(text, F.lit(""))) == ""
     split = sentences(text)
     none = F.array().cast("array<string>")
     if extracted is None:
         return F.struct(F.when(blank, none).otherwise(split).alias("claims"), F.lit(False).alias("parse_failed"))
-    parsed = F.filter(F.from_json(json_array(extracted), "array<string>"), lambda c: F.trim(c) != "")
+    parsed = F.filter(F.from_json(json_array(extracted), "array<string>"), lambda c: stripped(c) != "")
     good = F.coalesce(F.size(parsed) > 0, F.lit(False))
     return F.struct(F.when(blank, none).when(good, parsed).otherwise(split).alias("claims"), (~blank & ~good).alias("parse_failed"))
 
 
 def verdict(raw: Column, labels: tuple[str, ...] = LABELS3) -> Column:
-    """struct(n_claims, n_<label>..., overall) of a verifier's JSON answer.
+    """struct(n_claims, n_<label>..., overall, worst_claims) of a verifier's JSON answer.
 
-    Unknown labels and an unknown overall count as the worst. An overall of the worst that no
+    Labels are read in lower case; worst_claims are the texts of the claims with the worst one. Unknown labels and an unknown overall count as the worst. An overall of the worst that no
     claim bears is softened to the middle label if a claim bears one, else to the best.
     Malformed answers and null claims have no claims and the worst overall.
     """
     parsed = F.from_json(json_object(raw), "claims array<struct<text:string,label:string>>, overall string")
     worst, middle = labels[-1], labels[1:-1]
-    known = lambda x: F.when(x.isin(*labels), x).otherwise(F.lit(worst))
+    known = lambda x: F.when(F.lower(x).isin(*labels), F.lower(x)).otherwise(F.lit(worst))
+    texts = F.transform(F.filter(parsed["claims"], lambda c: known(c["label"]) == worst), lambda c: stripped(F.coalesce(c["text"], F.lit(""))))
     claims = F.coalesce(F.transform(parsed["claims"], lambda c: known(c["label"])), F.array().cast("array<string>"))
     count = lambda label: F.size(F.filter(claims, lambda x: x == label)).cast("bigint")
     some_middle = F.exists(claims, lambda x: x.isin(*middle))
     overall = known(parsed["overall"])
     softened = F.when(some_middle, F.lit(middle[0])).otherwise(F.lit(labels[0]))
     final = F.when((overall == worst) & (F.size(claims) > 0) & ~F.array_contains(claims, worst), softened).otherwise(F.coalesce(overall, F.lit(worst)))
-    return F.struct(F.size(claims).cast("bigint").alias("n_claims"), *(count(label).alias(f"n_{label}") for label in labels), final.alias("overall"))
+    return F.struct(F.size(claims).cast("bigint").alias("n_claims"), *(count(label).alias(f"n_{label}") for label in labels), final.alias("overall"), F.coalesce(texts, F.array().cast("array<string>")).alias("worst_claims"))
 
 
 def poisoned(context: Column, sentence: Column) -> Column:

@@ -33,7 +33,7 @@ def answered(questions: DataFrame, generator: Callable[[], Model], verifier: Cal
     does not parse never asks for that. Every model's output is written before it is used.
     """
     first = applied(questions.withColumn("prompt", prompt(task, context, "question")), "prompt", "answer", T.StringType(), generator)
-    shape = "struct<n_claims:bigint,n_supported:bigint,n_partial:bigint,n_unsupported:bigint,overall:string>"
+    shape = "struct<n_claims:bigint,n_supported:bigint,n_partial:bigint,n_unsupported:bigint,overall:string,worst_claims:array<string>>"
     none = F.lit(None).cast(shape)
     if verifier is None or task != "qa" or not retrieval:
         return first.withColumns({"verdict": none, "regenerated": F.lit(False), "verdict_after": none}).drop("prompt")
@@ -45,6 +45,6 @@ def answered(questions: DataFrame, generator: Callable[[], Model], verifier: Cal
     seen = judged(first, "verdict").withColumn("n", F.col("verdict.n_unsupported"))
     again, stand = verify.second_pass(seen, "n", regenerate)
     stand = stand.withColumns({"regenerated": F.lit(False), "verdict_after": none}).drop("n", "prompt")
-    retry = again.withColumn("prompt", verify.retry_prompt(F.col("prompt"), verify.claims_of(F.col("answer"))["claims"])).drop("answer", "n")
+    retry = again.withColumn("prompt", verify.retry_prompt(F.col("prompt"), F.col("verdict.worst_claims"))).drop("answer", "n")
     redone = judged(applied(retry, "prompt", "answer", T.StringType(), generator), "verdict_after").withColumn("regenerated", F.lit(True)).drop("prompt")
     return stand.unionByName(redone.select(stand.columns))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from fathomline.functions import text as T
 from fathomline.functions import vectors as V
 from fathomline.operators import metrics, report, stats, verify
+from fathomline.plans import sql
 from fathomline.plans.retrieval import table
+from fathomline.sources.readers import on_tracks, planned
 
 
 def sentence_split(spark, sf_dir):
@@ -60,7 +62,7 @@ def _verdicts(spark, sf_dir) -> DataFrame:
 
 
 def verdict_parse(spark, sf_dir):
-    return _verdicts(spark, sf_dir).select("conv_id", "turn", verify.verdict(F.col("raw")).alias("v")).select("conv_id", "turn", "v.*")
+    return _verdicts(spark, sf_dir).select("conv_id", "turn", verify.verdict(F.col("raw")).alias("v")).select("conv_id", "turn", "v.*").withColumn("worst_claims", F.array_join("worst_claims", "|"))
 
 
 def label_dist(spark, sf_dir):
@@ -97,10 +99,10 @@ def claim_pairs(spark, sf_dir):
     return verify.representative(nli_vote(spark, sf_dir), ["query", "claim"])
 
 
-def _rates(spark, sf_dir, judged) -> DataFrame:
+def _rates(spark, sf_dir, judged, referenced=None) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"))
     claims = _claims(spark, sf_dir).select("query", F.col("claim").cast("bigint").alias("claim"))
-    return verify.unsupported_rate(asked, claims, judged).withColumn("rate", F.round("rate", 6))
+    return verify.unsupported_rate(asked, claims, judged, referenced=referenced).withColumn("rate", F.round("rate", 6))
 
 
 def hallucination_ctx(spark, sf_dir):
@@ -108,11 +110,13 @@ def hallucination_ctx(spark, sf_dir):
 
 
 def hallucination_ref(spark, sf_dir):
-    """One premise: the conversation's first turn that is not the assistant's."""
+    """One premise: the conversation's first turn that is not the assistant's; without one there is no rate."""
     votes = nli_vote(spark, sf_dir)
     first = votes.groupBy("query").agg(F.min("chunk_pos").alias("p"))
     one = votes.join(first, "query").where("chunk_pos = p").select("query", "claim", "supported")
-    return _rates(spark, sf_dir, one)
+    c = table(spark, sf_dir, "conversations")
+    asked = c.where("role = 'assistant'").join(c.where("role <> 'assistant' AND conv_id % 5 <> 2").select("conv_id").distinct(), "conv_id", "left_semi")
+    return _rates(spark, sf_dir, one, asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query")))
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -283,22 +287,72 @@ def report_qa(spark, sf_dir):
     return registry.join(ran, "condition", "left")
 
 
+#: Anchor against comparison by field, with the scale of the report; the last was never run.
+CONTRASTS = (("click", "purchase", "value", 1.0), ("click", "view", "value", 100.0), ("view", "never_run", "value", 1.0))
+
+
+def contrast_table(spark, sf_dir):
+    """Kinds of event over the users that have all of them."""
+    scores = _facts(spark, sf_dir).where("condition IN ('click', 'purchase', 'view')")
+    everywhere = scores.groupBy("example").count().where("count = 3").select("example")
+    out = stats.contrasts(scores.join(everywhere, "example"), CONTRASTS)
+    return out.select("a", "b", "field", *(F.round(c, 3).alias(c) for c in ("delta", "low", "high")), F.round("p", 6).alias("p"), "significant")
+
+
+def qa_aggregate(spark, sf_dir):
+    """Five score fields of each user and kind of event, as means with intervals."""
+    e = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(*(F.round(f, 9).alias(n) for n, f in FIELDS.items()))
+    out = stats.aggregate(e, "event_type", "user_id", list(FIELDS))
+    return out.select("condition", *(F.round(c, 4).alias(c) for c in out.columns if c != "condition"))
+
+
+FIELDS = {"mean": F.avg("value"), "least": F.min("value"), "most": F.max("value"), "events": F.count("*").cast("double"), "high": F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0))}
+
+
+def formatted_scores(spark, sf_dir):
+    """Report cells of each kind of event; a kind of its own has no figures."""
+    s = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d"))
+    s = s.union(spark.createDataFrame([("never_run", None, None)], "event_type string, m double, d double"))
+    m, d = F.col("m"), F.col("d")
+    return s.select("event_type", T.mean_interval(m, m - d, m + d).alias("interval"), T.mean_interval(m / 1000, (m - d) / 1000, (m + d) / 1000, percent=True).alias("percent"), T.plus_minus(m, d).alias("spread"), T.fixed(m).alias("mean"), T.sign(m - 20).alias("sign"))
+
+
+def length_scatter(spark, sf_dir):
+    out = report.scatter(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), "source", "text", "n_chars")
+    return out.select("doc_id", "source", "words", "over", "n_chars", F.round("words_mean", 4).alias("words_mean"), F.round("score_mean", 4).alias("score_mean"))
+
+
+def nested_keywords(spark, sf_dir):
+    """Keyword lists with objects among the items."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('{"Topics": [{"name": "'), "lang", F.lit(' "}, "'), "source", F.lit('", {"id":'), F.col("doc_id").cast("string"), F.lit("}]}")).alias("raw"))
+    return d.select("doc_id", F.array_join(T.keywords(F.col("raw"), "Topics", nested=True), "|").alias("found"))
+
+
+def track_filter(spark, sf_dir):
+    return on_tracks(table(spark, sf_dir, "events"), "Click, VIEW", "event_type").select("event_id", "event_type")
+
+
+def run_plan(spark, sf_dir):
+    """Nations as runs, their region as phase; those of even number have an output."""
+    runs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("label"), F.col("n_regionkey").alias("phase"), F.concat(F.lit("out/"), F.col("n_nationkey").cast("string")).alias("output"))
+    done = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("out/"), F.col("n_nationkey").cast("string")).alias("output"))
+    return planned(runs, done, [0, 2, 3]).select("label", "phase", "status")
+
+
 def dq_checks(spark, sf_dir):
     d, e, v = (table(spark, sf_dir, t) for t in ("documents", "events", "embeddings"))
     return report.checks([
-        report.assertion(d, "documents.text present", F.col("text").isNull() | (F.trim("text") == "")),
+        report.assertion(d, "documents.text present", F.col("text").isNull() | (T.stripped(F.col("text")) == "")),
         report.assertion(d, "documents.long enough", F.size(T.words(F.col("text"))) < 5, fatal=False),
         report.assertion(e, "events.value present", F.col("value").isNull() | F.isnan("value")),
         report.assertion(v, "embeddings.size", F.size("embedding") != 64),
     ])
 
 
-QUERIES = {f.__name__: f for f in (sentence_split, truncate_words, json_extract, keyword_parse, parse_rate, verdict_parse, label_dist, poison_context, nli_vote, claim_pairs, hallucination_ctx, hallucination_ref, rouge_l, greedy_match_f1, keyword_micro, keyword_agg, keyword_pivot, latency_summary, gen_length, track_summary, track_rollup, delta_report, score_quantiles, minmax_norm, running_min_frontier, score_fact, bootstrap_ci, paired_bootstrap, permutation_test, pairwise_report, report_qa, dq_checks)}
+QUERIES = {f.__name__: f for f in (sentence_split, truncate_words, json_extract, keyword_parse, parse_rate, verdict_parse, label_dist, poison_context, nli_vote, claim_pairs, hallucination_ctx, hallucination_ref, rouge_l, greedy_match_f1, keyword_micro, keyword_agg, keyword_pivot, latency_summary, gen_length, track_summary, track_rollup, delta_report, score_quantiles, minmax_norm, running_min_frontier, score_fact, bootstrap_ci, paired_bootstrap, permutation_test, pairwise_report, report_qa, contrast_table, qa_aggregate, formatted_scores, length_scatter, nested_keywords, track_filter, run_plan, dq_checks)}
 QUERIES |= {"rouge1": _rouge(1), "rouge2": _rouge(2), "keyword_prf": keyword_prf, "keyword_prf_strict": _prf(False)}
 
-_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
-_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')".format
-_SENT = r"list_filter(list_transform(string_split(regexp_replace(trim({}), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')".format
+_TERMS, _WORDS, _SENT = sql.terms, sql.words, sql.sentences
 
 _ANSWERS = """shaped AS (SELECT doc_id, lang, source, doc_id % 5 AS shape FROM documents),
 answers AS (SELECT doc_id, lang, CASE shape WHEN 0 THEN lang || '|' || source WHEN 1 THEN lang || '|' || source WHEN 4 THEN lang || '|' || source ELSE '' END AS found FROM shaped)"""
@@ -306,7 +360,8 @@ answers AS (SELECT doc_id, lang, CASE shape WHEN 0 THEN lang || '|' || source WH
 _VERDICT = """turns AS (SELECT conv_id, turn, conv_id % 7 = 3 AS broken, list_transform(range(1, greatest(turn, 1) + 1), lambda i: (['supported', 'partial', 'unsupported', 'unsupported'])[(i + conv_id) % 4 + 1]) AS l FROM conversations WHERE role = 'assistant'),
 counted AS (SELECT conv_id, turn, broken, CASE WHEN broken THEN [] ELSE l END AS l FROM turns),
 verdicts AS (SELECT conv_id, turn, len(l) AS n_claims, len(list_filter(l, lambda x: x = 'supported')) AS n_supported, len(list_filter(l, lambda x: x = 'partial')) AS n_partial, len(list_filter(l, lambda x: x = 'unsupported')) AS n_unsupported,
-  CASE WHEN broken THEN 'unsupported' WHEN conv_id % 2 = 1 THEN 'supported' WHEN list_contains(l, 'unsupported') THEN 'unsupported' WHEN list_contains(l, 'partial') THEN 'partial' ELSE 'supported' END AS overall FROM counted)"""
+  CASE WHEN broken THEN 'unsupported' WHEN conv_id % 2 = 1 THEN 'supported' WHEN list_contains(l, 'unsupported') THEN 'unsupported' WHEN list_contains(l, 'partial') THEN 'partial' ELSE 'supported' END AS overall,
+  coalesce(array_to_string(list_transform(list_filter(l, lambda x: x = 'unsupported'), lambda x: 'c'), '|'), '') AS worst_claims FROM counted)"""
 
 _CLAIMS = f"""claims AS MATERIALIZED (SELECT query, conv_id, i - 1 AS claim, s[i] AS sentence FROM (SELECT conv_id * 1000 + turn AS query, conv_id, {_SENT('text')} AS s FROM conversations WHERE role = 'assistant'), range(1, 100000) r(i) WHERE i <= len(s)),
 held AS (SELECT conv_id, turn AS chunk_pos, list_distinct({_TERMS('text')}) AS held FROM conversations WHERE role <> 'assistant'),
@@ -380,7 +435,9 @@ ORACLES = {
     "nli_vote": f"WITH {_CLAIMS} SELECT query, claim, chunk_pos, n_votes, supported FROM votes",
     "claim_pairs": f"WITH {_CLAIMS} SELECT query, claim, supported, chunk_pos, n_chunks FROM pairs",
     "hallucination_ctx": f"WITH {_CLAIMS} {_rate_sql('SELECT query, claim, supported FROM pairs')}",
-    "hallucination_ref": f"WITH {_CLAIMS} {_rate_sql('SELECT query, claim, supported FROM (SELECT *, min(chunk_pos) OVER (PARTITION BY query) AS p FROM votes) WHERE chunk_pos = p')}",
+    "hallucination_ref": f"""WITH {_CLAIMS}, known AS (SELECT DISTINCT conv_id FROM conversations WHERE role <> 'assistant' AND conv_id % 5 <> 2),
+      r AS ({_rate_sql('SELECT query, claim, supported FROM (SELECT *, min(chunk_pos) OVER (PARTITION BY query) AS p FROM votes) WHERE chunk_pos = p')})
+      SELECT query, CASE WHEN conv_id IS NULL THEN 0 ELSE n_claims END AS n_claims, CASE WHEN conv_id IS NULL THEN 0 ELSE n_unsupported END AS n_unsupported, CASE WHEN conv_id IS NULL THEN NULL ELSE rate END AS rate FROM r LEFT JOIN known ON conv_id = query // 1000""",
     "rouge1": _rouge_sql(1),
     "rouge2": _rouge_sql(2),
     "greedy_match_f1": """WITH t AS MATERIALIZED (SELECT vec_id // 8 AS text, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -417,8 +474,28 @@ ORACLES = {
       seen AS (SELECT condition, round(avg(value), 6) AS mean FROM facts GROUP BY condition),
       p AS (SELECT condition, round((count(*) FILTER (WHERE abs(m) >= abs(mean)) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM flips JOIN seen USING (condition) GROUP BY condition)
       SELECT split_part(condition, '|', 1) AS a, split_part(condition, '|', 2) AS b, mean, low, high, p, low > 0 OR high < 0 AS significant_ci, p < 0.05 AS significant_p FROM ci JOIN p USING (condition)""",
+    "contrast_table": f"""WITH {_FACTS.replace("facts AS", "every AS")}, three AS (SELECT * FROM every WHERE condition IN ('click', 'purchase', 'view') AND example IN (SELECT example FROM every WHERE condition IN ('click', 'purchase', 'view') GROUP BY example HAVING count(*) = 3)),
+      wanted AS (SELECT * FROM (VALUES ('click', 'purchase', 'value', 1.0::DOUBLE), ('click', 'view', 'value', 100.0::DOUBLE), ('view', 'never_run', 'value', 1.0::DOUBLE)) w(a, b, field, scale)),
+      facts AS MATERIALIZED (SELECT a || '|' || b AS condition, x.example, x.value - y.value AS value FROM wanted JOIN three x ON x.condition = a JOIN three y ON y.condition = b AND y.example = x.example),
+      {_BOOT.replace("round(avg(value), 4) AS mean, round(any_value(low), 4) AS low, round(any_value(high), 4) AS high", "avg(value) AS mean, any_value(low) AS low, any_value(high) AS high")},
+      flips AS (SELECT condition, r, round(avg(CASE WHEN h % 2 = 0 THEN value ELSE -value END), 6) AS m FROM ({_drawn_sql(43)}) GROUP BY condition, r),
+      seen AS (SELECT condition, round(avg(value), 6) AS mean FROM facts GROUP BY condition),
+      p AS (SELECT condition, (count(*) FILTER (WHERE abs(m) >= abs(mean)) + 1) / (count(*) + 1)::DOUBLE AS p FROM flips JOIN seen USING (condition) GROUP BY condition)
+      SELECT a, b, field, round(mean * scale, 3) AS delta, round(low * scale, 3) AS low, round(high * scale, 3) AS high, round(p, 6) AS p, coalesce((low > 0 OR high < 0) AND p < 0.05, false) AS significant
+      FROM wanted LEFT JOIN ci ON ci.condition = a || '|' || b LEFT JOIN p ON p.condition = a || '|' || b""",
+    "qa_aggregate": f"""WITH each AS (SELECT event_type, user_id AS example, round(avg(value), 9) AS mean, round(min(value), 9) AS least, round(max(value), 9) AS most, count(*)::DOUBLE AS events, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0 END), 9) AS high FROM events GROUP BY event_type, user_id),
+      facts AS MATERIALIZED (SELECT event_type || '|' || f AS condition, example, value FROM (UNPIVOT each ON mean, least, most, events, high INTO NAME f VALUE value)), {_BOOT}
+      SELECT split_part(condition, '|', 1) AS condition, {', '.join(f"max(CASE WHEN split_part(condition, '|', 2) = '{f}' THEN {c} END) AS {f}_{n}" for f in ('mean', 'least', 'most', 'events', 'high') for c, n in (('mean', 'mean'), ('low', 'ci_low'), ('high', 'ci_high')))} FROM ci GROUP BY 1""",
+    "formatted_scores": """WITH s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS d FROM events GROUP BY event_type UNION ALL SELECT 'never_run', NULL, NULL)
+      SELECT event_type, coalesce(printf('%.4f [%.4f, %.4f]', m, m - d, m + d), '--') AS interval, coalesce(printf('%.2f [%.2f, %.2f]', m / 10, (m - d) / 10, (m + d) / 10), '--') AS percent,
+        coalesce(printf('%.2f', m), '--') || ' ± ' || coalesce(printf('%.2f', d), '--') AS spread, coalesce(printf('%.4f', m), '--') AS mean, CASE WHEN m >= 20 THEN '+' ELSE '' END AS sign FROM s""",
+    "length_scatter": f"""WITH w AS (SELECT doc_id, source, len({_WORDS('text')})::BIGINT AS words, n_chars FROM documents)
+      SELECT doc_id, source, words, words > 150 AS over, n_chars, round(avg(words) OVER (PARTITION BY source), 4) AS words_mean, round(avg(n_chars) OVER (PARTITION BY source), 4) AS score_mean FROM w""",
+    "nested_keywords": """SELECT doc_id, lang || '|' || source || '|{"id":' || doc_id || '}' AS found FROM documents""",
+    "track_filter": "SELECT event_id, event_type FROM events WHERE upper(event_type) IN ('CLICK', 'VIEW')",
+    "run_plan": "SELECT n_name AS label, n_regionkey AS phase, CASE WHEN n_nationkey % 2 = 0 THEN 'skip' ELSE 'run' END AS status FROM nation WHERE n_regionkey IN (0, 2, 3)",
     "report_qa": f"WITH {_FACTS}, {_BOOT}, registry AS (SELECT unnest(['click', 'purchase', 'view', 'signup', 'logout', 'never_run']) AS condition) SELECT condition, mean, low, high FROM registry LEFT JOIN ci USING (condition)",
-    "dq_checks": f"""WITH c AS (SELECT 'documents.text present' AS name, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS n_bad, true AS fatal FROM documents
+    "dq_checks": f"""WITH c AS (SELECT 'documents.text present' AS name, count(*) FILTER (WHERE text IS NULL OR {sql.stripped('text')} = '') AS n_bad, true AS fatal FROM documents
       UNION ALL SELECT 'documents.long enough', count(*) FILTER (WHERE len({_WORDS('text')}) < 5), false FROM documents
       UNION ALL SELECT 'events.value present', count(*) FILTER (WHERE value IS NULL OR isnan(value)), true FROM events
       UNION ALL SELECT 'embeddings.size', count(*) FILTER (WHERE len(embedding) <> 64), true FROM embeddings)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.functions import text as T
 from fathomline.functions import vectors as V
 from fathomline.operators import dedup, ingest, search
+from fathomline.plans import sql
 from fathomline.sources.store import manifest, settle
 
 
@@ -52,6 +53,11 @@ def corpus_stats(spark, sf_dir):
     return ingest.corpus_counts(_chunked(spark, sf_dir), "doc_id")
 
 
+def corpus_build(spark, sf_dir):
+    _, counts = ingest.corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return counts
+
+
 def shingles(spark, sf_dir):
     sig = dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text")
     return sig.select(F.col("ord").alias("doc_id"), F.size("set").cast("bigint").alias("n_shingles"))
@@ -169,10 +175,9 @@ def index_manifest(spark, sf_dir):
     return m.select(F.col("version").cast("bigint").alias("version"), "encoder", "n_chunks", F.col("embed_dim").cast("bigint").alias("embed_dim"), "dataset")
 
 
-QUERIES = {f.__name__: f for f in (scan_documents, normalize_docs, sample_docs, sections, chunk_docs, corpus_stats, shingles, neardup_pairs, dedup_keep, tokenize, bm25_index, bm25_search, normalize_vec, dense_topk, redundancy_filter, hybrid_rrf, rerank, hybrid_search, litm_order, context_block, index_manifest)}
+QUERIES = {f.__name__: f for f in (scan_documents, normalize_docs, sample_docs, sections, chunk_docs, corpus_stats, corpus_build, shingles, neardup_pairs, dedup_keep, tokenize, bm25_index, bm25_search, normalize_vec, dense_topk, redundancy_filter, hybrid_rrf, rerank, hybrid_search, litm_order, context_block, index_manifest)}
 
-_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')".format
-_WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')".format
+_TERMS, _WORDS, _STRIP = sql.terms, sql.words, sql.stripped
 
 _BM25 = rf"""
 tok AS MATERIALIZED (SELECT doc_id AS id, unnest({_TERMS('text')}) AS term FROM documents),
@@ -221,22 +226,34 @@ ce AS (SELECT query, pool.id, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_interse
   FROM pool JOIN (SELECT item_id, list_distinct({_TERMS('text')}) AS qt FROM benchmark) b ON b.item_id = query JOIN (SELECT doc_id, list_distinct({_TERMS('text')}) AS dt FROM documents) d ON d.doc_id = pool.id),
 rr AS MATERIALIZED (SELECT query, id, ce, row_number() OVER (PARTITION BY query ORDER BY round(ce, 6) DESC, id DESC) - 1 AS rank FROM ce)"""
 
-_SETS = rf"""
-w AS MATERIALIZED (SELECT doc_id, {_WORDS("lower(text)")} AS w FROM documents),
+_WORDED = f"""
+w AS MATERIALIZED (SELECT doc_id, {_WORDS("lower(text)")} AS w FROM documents),"""
+_SETS = rf"""{_WORDED}
 sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
 sz AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(md5(s), '' ORDER BY s)) AS k FROM sh GROUP BY doc_id),
 rep AS MATERIALIZED (SELECT k, min(doc_id) AS id, any_value(n) AS n FROM sz GROUP BY k),
 hit AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM (SELECT sh.* FROM sh JOIN rep ON rep.id = doc_id) x JOIN (SELECT sh.* FROM sh JOIN rep ON rep.id = doc_id) y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
 pr AS MATERIALIZED (SELECT a, b, c::DOUBLE / (p.n + q.n - c) AS jaccard FROM hit JOIN rep p ON p.id = a JOIN rep q ON q.id = b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.85)"""
 
+_KEPT = """node AS MATERIALIZED (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS r FROM pr GROUP BY b),
+      walk(r, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+        SELECT node.r, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, id) ELSE gone END FROM walk JOIN node ON node.r = walk.r + 1),
+      last AS (SELECT gone FROM walk ORDER BY r DESC LIMIT 1)"""
+
+#: Chunks in place of documents, numbered by document and place.
+_CHUNKED = f"""
+d AS (SELECT doc_id, {_WORDS('text')} AS w FROM documents),
+piece AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 256 THEN 1 ELSE CAST(ceil((len(w) - 256) / 224.0) AS BIGINT) + 1 END)) AS i FROM d),
+w AS MATERIALIZED (SELECT doc_id * 1000000 + i AS doc_id, list_transform(w[i*224+1:i*224+256], lambda x: lower(x)) AS w FROM piece),"""
+
 ORACLES = {
     "scan_documents": "SELECT doc_id, lang, source, n_chars, length(text) AS text_len FROM documents",
-    "normalize_docs": r"""SELECT page_id::VARCHAR AS doc_uid, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '' AS abstract,
-      trim(array_to_string(list_filter(list_transform(regexp_extract_all(html, '<p>([^\n]*?)</p>', 1), lambda p: regexp_replace(p, '<[^>]*>', '', 'g')), lambda p: trim(p) <> ''), chr(10))) AS body, coalesce(url, '') AS url FROM pages""",
+    "normalize_docs": rf"""SELECT page_id::VARCHAR AS doc_uid, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, '' AS abstract,
+      {_STRIP("array_to_string(list_filter(list_transform(regexp_extract_all(html, '<p>([^\n]*?)</p>', 1), lambda p: regexp_replace(p, '<[^>]*>', '', 'g')), lambda p: " + _STRIP('p') + " <> ''), chr(10))")} AS body, coalesce(url, '') AS url FROM pages""",
     "sample_docs": "SELECT doc_id, lang FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100",
-    "sections": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-      s AS (SELECT doc_id, unnest([{'o': 0, 'n': 'title', 't': l[1]}, {'o': 1, 'n': 'abstract', 't': coalesce(l[2], '')}, {'o': 2, 'n': 'body', 't': array_to_string(l[3:], chr(10))}]) AS s FROM l)
-      SELECT doc_id, s.o::BIGINT AS section_ord, s.n AS section, md5(s.t) AS digest FROM s WHERE trim(s.t) <> ''""",
+    "sections": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+      s AS (SELECT doc_id, unnest([{{'o': 0, 'n': 'title', 't': l[1]}}, {{'o': 1, 'n': 'abstract', 't': coalesce(l[2], '')}}, {{'o': 2, 'n': 'body', 't': array_to_string(l[3:], chr(10))}}]) AS s FROM l)
+      SELECT doc_id, s.o::BIGINT AS section_ord, s.n AS section, md5(s.t) AS digest FROM s WHERE {_STRIP('s.t')} <> ''""",
     "chunk_docs": f"""WITH w AS (SELECT doc_id, {_WORDS('text')} AS w FROM documents),
       c AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 256 THEN 1 ELSE CAST(ceil((len(w) - 256) / 224.0) AS BIGINT) + 1 END)) AS i FROM w)
       SELECT doc_id, i AS chunk_idx, len(w[i*224+1:i*224+256]) AS token_count, md5(array_to_string(w[i*224+1:i*224+256], ' ')) AS digest FROM c""",
@@ -245,12 +262,10 @@ ORACLES = {
       SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, sum(len(w[i*224+1:i*224+256]))::BIGINT AS n_tokens, max(len(w[i*224+1:i*224+256])) AS longest FROM c""",
     "shingles": f"WITH {_SETS} SELECT w.doc_id, coalesce(n, 0) AS n_shingles FROM w LEFT JOIN sz USING (doc_id)",
     "neardup_pairs": f"WITH {_SETS} SELECT a, b, round(jaccard, 6) AS jaccard FROM pr",
-    "dedup_keep": f"""WITH RECURSIVE {_SETS},
-      node AS MATERIALIZED (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS r FROM pr GROUP BY b),
-      walk(r, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
-        SELECT node.r, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, id) ELSE gone END FROM walk JOIN node ON node.r = walk.r + 1),
-      last AS (SELECT gone FROM walk ORDER BY r DESC LIMIT 1)
+    "dedup_keep": f"""WITH RECURSIVE {_SETS}, {_KEPT}
       SELECT w.doc_id, coalesce(w.doc_id = rep.id AND NOT list_contains(gone, rep.id), false) AS kept FROM w LEFT JOIN sz USING (doc_id) LEFT JOIN rep USING (k), last""",
+    "corpus_build": f"""WITH RECURSIVE {_SETS.replace(_WORDED, _CHUNKED)}, {_KEPT}
+      SELECT count(DISTINCT w.doc_id // 1000000) AS n_docs, count(*) AS n_seen, count(*) FILTER (WHERE w.doc_id = rep.id AND NOT list_contains(gone, rep.id)) AS n_kept FROM w LEFT JOIN sz USING (doc_id) LEFT JOIN rep USING (k), last""",
     "tokenize": f"SELECT doc_id, len({_TERMS('text')}) AS n_terms, len(list_distinct({_TERMS('text')})) AS n_distinct FROM documents",
     "bm25_index": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM ts",
     "bm25_search": f"WITH {_BM25} SELECT query AS item_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id DESC) - 1 AS rank, id AS doc_id, round(score, 4) AS score FROM bm QUALIFY rank < 10",
@@ -277,7 +292,7 @@ ORACLES = {
       SELECT query AS item_id, out.rank, id AS doc_id, round(ce, 6) AS score FROM out JOIN (SELECT query, id, ce FROM pv) p USING (query, id)""",
     "litm_order": f"WITH {_BM25}, {_FIVE} SELECT query AS item_id, rank, position, id AS doc_id FROM placed",
     "context_block": f"""WITH {_BM25}, {_FIVE},
-      made AS (SELECT query, string_agg('[Doc ' || (position + 1) || ' | id=' || id || ']' || chr(10) || trim(text) || chr(10), chr(10) ORDER BY position) AS context FROM placed JOIN documents ON doc_id = id GROUP BY query),
+      made AS (SELECT query, string_agg('[Doc ' || (position + 1) || ' | id=' || id || ']' || chr(10) || {_STRIP('text')} || chr(10), chr(10) ORDER BY position) AS context FROM placed JOIN documents ON doc_id = id GROUP BY query),
       every AS (SELECT item_id, coalesce(context, '(nothing was retrieved for this question)') AS context FROM benchmark LEFT JOIN made ON query = item_id)
       SELECT item_id, md5(context) AS digest, length(context) AS size FROM every""",
     "index_manifest": "SELECT 1::BIGINT AS version, 'stand-in' AS encoder, (SELECT count(*) FROM documents) AS n_chunks, (SELECT max(len(embedding)) FROM embeddings) AS embed_dim, 'documents' AS dataset",

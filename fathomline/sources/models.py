@@ -8,7 +8,8 @@ nothing about any model's quality.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +48,28 @@ def applied(df: DataFrame, text_col: str, out_col: str, kind: T.DataType, factor
     return settle(df.mapInArrow(run, schema))
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """A text encoder: one model for documents and one for queries, which is the same unless the encoder is asymmetric."""
+
+    name: str
+    documents: Callable[[], Model]
+    queries: Callable[[], Model] | None = None
+
+    def encoded(self, df: DataFrame, text_col: str, out_col: str, as_queries: bool = False, **settings) -> DataFrame:
+        """df with out_col: array<double> from the model for documents or for queries."""
+        factory = self.queries if as_queries and self.queries is not None else self.documents
+        return applied(df, text_col, out_col, T.ArrayType(T.DoubleType()), factory, **settings)
+
+
+def encoder_of(name: str, registry: Mapping[str, Encoder]) -> Encoder:
+    """The registered encoder of that name, in any case and without outer blanks; an unknown one is an error."""
+    found = {k.lower(): v for k, v in registry.items()}.get(name.strip().lower())
+    if found is None:
+        raise ValueError(f"unknown encoder {name}")
+    return found
+
+
 #: Names under which a generator may be asked for, and what they stand for.
 ALIASES = {"small": "stand-in:small", "large": "stand-in:large"}
 

@@ -50,6 +50,20 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def on_tracks(queries: DataFrame, tracks: str, track_col: str = "track") -> DataFrame:
+    """The queries of the tracks in a comma-separated list, whatever their case; without a track a query is on none."""
+    wanted = [t.strip().upper() for t in tracks.split(",")]
+    return queries.where(F.upper(F.coalesce(track_col, F.lit(""))).isin(*wanted) & (F.coalesce(track_col, F.lit("")) != ""))
+
+
+def planned(runs: DataFrame, outputs: DataFrame, phases: Sequence[int], key: str = "output", force: bool = False, dry_run: bool = False) -> DataFrame:
+    """The catalogued runs of some phases with status: skip (output exists), dry or run."""
+    chosen = runs.where(F.col("phase").isin(*phases))
+    there = outputs.select(key).distinct().withColumn("__there", F.lit(True))
+    skip = F.coalesce("__there", F.lit(False)) & F.lit(not force)
+    return chosen.join(there, key, "left").withColumn("status", F.when(skip, "skip").otherwise(F.lit("dry" if dry_run else "run"))).drop("__there")
+
+
 def pending(runs: DataFrame, outputs: DataFrame, key: str = "output", force: bool = False) -> DataFrame:
     """Catalogued runs whose output is not there yet; all of them with force."""
     return runs if force else runs.join(outputs, key, "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,13 @@ TABLES = ("chunks", "vectors", "postings", "term_stats", "corpus_stats")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a session without one gets a local one."""
+    """The session's checkpoint folder; only a local session without one gets a local one, on a cluster that is an error."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="fathomline-"))
     return context.getCheckpointDir().get()
 
 
@@ -61,7 +65,31 @@ def load_index(spark: SparkSession, path: str, encoder: str | None = None) -> di
     return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
 
 
+def load_or_build(spark: SparkSession, path: str, build: Callable[[], dict[str, DataFrame]], encoder: str, rebuild: bool = False, **more: str) -> dict[str, DataFrame]:
+    """The stored index, or the one that build() makes, which is stored first; one without chunks is an error."""
+    if rebuild or not index_exists(spark, path):
+        tables = build()
+        if tables["chunks"].isEmpty():
+            raise RuntimeError("no chunks to index")
+        save_index(tables, path, encoder, **more)
+    return load_index(spark, path, encoder)
+
+
 def append_chunks(path: str, more: dict[str, DataFrame]) -> None:
     """Add chunks, vectors and postings to a stored index; the statistics follow with `refresh`."""
     for name in ("chunks", "vectors", "postings"):
         more[name].write.mode("append").parquet(f"{path}/{name}")
+
+
+def refresh(spark: SparkSession, path: str) -> None:
+    """Statistics and manifest of a stored index anew, from its chunks and postings."""
+    from fathomline.operators.search import term_stats
+
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "postings")}
+    n = tables["chunks"].agg(F.count("*").alias("n"))
+    stats = settle(n.crossJoin(F.broadcast(tables["postings"].agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")))).select("n", (F.col("t") / F.col("n")).alias("avgdl")))
+    stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    term_stats(tables["postings"], stats).write.mode("overwrite").parquet(f"{path}/term_stats")
+    old = spark.read.parquet(f"{path}/manifest").first().asDict()
+    more = {k: v for k, v in old.items() if k not in ("version", "encoder", "n_chunks", "embed_dim")}
+    settle(manifest(tables, old["encoder"], **more)).write.mode("overwrite").parquet(f"{path}/manifest")

@@ -265,3 +265,30 @@ def test_portable_draws_give_numpys_interval(spark):
     ours, theirs = (f(scores, ["condition"]).first() for f in (stats.interval, stats.numpy_interval))
     width = theirs.high - theirs.low
     assert abs(ours.low - theirs.low) < 0.05 * width and abs(ours.high - theirs.high) < 0.05 * width
+
+
+def test_white_space_of_any_script_is_stripped(spark):
+    text = " \tOne two. Three　four. \n"
+    got = spark.createDataFrame([(text, "\n\n", " Foo  \n bar\t")], "t string, b string, n string").select(T.sentences(F.col("t")).alias("s"), T.sentences(F.col("b")).alias("none"), T.normal_term(F.col("n")).alias("n"), T.words(F.col("t")).alias("w")).first()
+    assert got.s == ["One two.", "Three　four."] and got.none == [] and got.n == "foo bar" and got.w == text.split()
+
+
+def test_rates_without_a_reference_are_null(spark, rows):
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "query int")
+    claims = spark.createDataFrame([(1, 0), (2, 0)], "query int, claim int")
+    judged = spark.createDataFrame([(1, 0, True), (2, 0, True)], "query int, claim int, supported boolean")
+    known = spark.createDataFrame([(1,), (3,), (3,)], "query int")
+    assert rows(verify.unsupported_rate(queries, claims, judged, referenced=known)) == [(1, 1, 0, 0.0), (2, 0, 0, None), (3, 0, 0, 1.0)]
+
+
+def test_search_mode_is_checked(spark):
+    df = spark.createDataFrame([(1, "a", [1.0])], "id int, text string, v array<double>")
+    with pytest.raises(ValueError, match="mode"):
+        search.search(df, df, df, chunk_id="id", chunk_text="text", vec="v", query_id="id", query_text="text", query_vec="v", mode="sparse")
+
+
+def test_numbers_in_reports(spark):
+    df = spark.createDataFrame([(0.12345, 0.1, 0.2), (None, None, None)], "m double, l double, h double")
+    m, lo, hi = (F.col(c) for c in "mlh")
+    shown = df.select(T.mean_interval(m, lo, hi), T.mean_interval(m, lo, hi, percent=True), T.plus_minus(m, lo), T.fixed(m, 1), T.sign(m)).collect()
+    assert list(map(tuple, shown)) == [("0.1235 [0.1000, 0.2000]", "12.35 [10.00, 20.00]", "0.12 ± 0.10", "0.1", "+"), ("--", "--", "-- ± --", "--", "")]

@@ -111,3 +111,65 @@ def test_streaming_keeps_the_first(spark, tmp_path):
     query.awaitTermination(120)
     kept = sorted(r.doc for r in spark.read.parquet(f"{tmp_path}/out/chunks").collect())
     assert kept in ([1, 4], [3, 4])  # files of one second may come in either order
+
+
+def test_load_or_build_and_refresh(spark, index, tmp_path):
+    path, built = f"file://{tmp_path}/index", []
+
+    def build():
+        built.append(1)
+        return index
+
+    for rebuild, times in ((False, 1), (False, 1), (True, 2)):
+        loaded = store.load_or_build(spark, path, build, "stand-in", rebuild, dataset="tiny")
+        assert len(built) == times and loaded["chunks"].count() == 2
+    with pytest.raises(RuntimeError, match="no chunks"):
+        store.load_or_build(spark, path, lambda: index | {"chunks": index["chunks"].limit(0)}, "stand-in", rebuild=True)
+    more = spark.createDataFrame([(3, "fever fever again and again"), (4, "")], "id int, text string")
+    fresh = search.lexical_index(more, "id", "text")
+    store.append_chunks(path, {"chunks": more, "vectors": spark.createDataFrame([(3, [1.0, 1.0]), (4, [0.0, 0.0])], "id int, vec array<double>"), "postings": fresh["postings"]})
+    store.refresh(spark, path)
+    whole = search.lexical_index(index["chunks"].union(more), "id", "text")
+    loaded = store.load_index(spark, path, "stand-in")
+    for name in ("term_stats", "corpus_stats"):
+        assert sorted(map(tuple, loaded[name].collect())) == sorted(map(tuple, whole[name].collect()))
+    row = spark.read.parquet(f"{path}/manifest").first()
+    assert (row.n_chunks, row.dataset, row.encoder) == (4, "tiny", "stand-in")
+
+
+def test_retry_prompt_lists_unsupported_claims_only(spark):
+    q = spark.createDataFrame([(1, "why?", "c")], "query int, question string, context string")
+    seen = f"{store.shared_folder(spark).removeprefix('file:')}/prompts.txt"
+
+    def generator():
+        def model(prompts):
+            with open(seen, "a") as out:
+                out.writelines(p + "\n#\n" for p in prompts)
+            return ["First is so. Second is not." for _ in prompts]
+
+        return model
+
+    raw = '{"claims":[{"text":" First is so. ","label":"Supported"},{"text":"Second is not.","label":"UNSUPPORTED"},{"text":"Odd.","label":"what"}],"overall":"unsupported"}'
+    answered(q, generator, lambda: lambda prompts: [raw for _ in prompts], regenerate=True).collect()
+    retry = open(seen).read().split("\n#\n")[1]
+    assert "- Second is not." in retry and "- Odd." in retry and "First is so." not in retry
+
+
+def test_encoders(spark):
+    made = models.Encoder("two", lambda: lambda texts: [[float(len(t))] for t in texts], lambda: lambda texts: [[-float(len(t))] for t in texts])
+    assert models.encoder_of(" Two ", {"two": made}) is made
+    with pytest.raises(ValueError):
+        models.encoder_of("three", {"two": made})
+    df = spark.createDataFrame([("abc",)], "t string")
+    assert [made.encoded(df, "t", "v", as_queries=q).first().v for q in (False, True)] == [[3.0], [-3.0]]
+
+
+def test_tracks_and_plans(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c"), (4, None), (5, "")], "id int, track string")
+    assert sorted(r.id for r in readers.on_tracks(q, " A,b").collect()) == [1, 2]
+    runs = spark.createDataFrame([("x", 1, "o1"), ("y", 1, "o2"), ("z", 2, "o3")], "label string, phase int, output string")
+    done = spark.createDataFrame([("o1",), ("o1",)], "output string")
+    status = lambda **k: {r.label: r.status for r in readers.planned(runs, done, [1], **k).collect()}
+    assert status() == {"x": "skip", "y": "run"}
+    assert status(force=True) == {"x": "run", "y": "run"}
+    assert status(dry_run=True) == {"x": "skip", "y": "dry"}
