@@ -25,13 +25,16 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where the session names none (tests, notebooks) is a local one set.
+    Only where a local session names none (tests, notebooks) is a local one set; on a cluster
+    that is an error.
     """
     sc = spark.sparkContext
     base = sc._jsc.sc().getCheckpointDir()
     if base.isDefined():
         return base.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc._jsc.sc().isLocal():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,8 +47,6 @@ def settle(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     x = np.asarray(x, dtype=np.uint64)
