@@ -8,6 +8,8 @@ exceeds its trust.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from fathomline.llm.common import settle
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are matched as one literal list a row; longer lists belong in a table.
 MOST_RULES = 1000
-DAMPING, ROUNDS, SETTLED = 0.85, 20, 1e-9
+#: Mass that still moves after n rounds is at most DAMPING to the n, so SETTLED bounds the rounds.
+DAMPING, SETTLED = 0.85, 1e-9
 
 RULES = (
     ("block", "com/en/"),
@@ -77,7 +80,7 @@ def propagated(seeds: DataFrame, links: DataFrame) -> DataFrame:
     if edges.isEmpty():
         return stay
     now = stay
-    for _ in range(ROUNDS):
+    for _ in range(math.ceil(math.log(SETTLED / 2) / math.log(DAMPING))):
         moved = now.join(edges, now["host"] == edges["from"]).select(F.col("to").alias("host"), (F.col("trust") * F.col("t") * DAMPING).alias("trust"), (F.col("distrust") * F.col("d") * DAMPING).alias("distrust"))
         then = settle(stay.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
         change = F.abs(F.coalesce("a.trust", F.lit(0)) - F.coalesce("b.trust", F.lit(0))) + F.abs(F.coalesce("a.distrust", F.lit(0)) - F.coalesce("b.distrust", F.lit(0)))
