@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,11 @@ def set_scores(predicted: Column, gold: Column, empty_is_perfect: bool = True) -
     return F.struct(pick(p).alias("precision"), pick(r).alias("recall"), pick(harmonic(p, r)).alias("f1"))
 
 
+def set_differences(predicted: Column, gold: Column) -> Column:
+    """struct(hits, false_positives, false_negatives) of two sets, each in the order of its side."""
+    return F.struct(F.array_intersect(predicted, gold).alias("hits"), F.array_except(predicted, gold).alias("false_positives"), F.array_except(gold, predicted).alias("false_negatives"))
+
+
 def ngram_overlap(pairs: DataFrame, key: list[str], candidate: str, reference: str, n: int) -> DataFrame:
     """key, precision, recall, f1 of clipped n-gram overlap without stemming; 0 where a side has none."""
 
@@ -96,12 +101,17 @@ def length_profile(texts: DataFrame, by: str, text: str, limit: int = 150) -> Da
     return texts.groupBy(by).agg(F.count("*").alias("n"), F.avg(n).alias("words_mean"), F.max(n).cast("bigint").alias("words_max"), F.avg(F.when(n > limit, 100.0).otherwise(0.0)).alias("pct_over"), F.avg(cut).alias("pct_cut"))
 
 
-def trigger_summary(rows: DataFrame, by: str, subtotal: bool = False) -> DataFrame:
-    """Triggered, regenerated and recovered counts by track, with rates; subtotal adds a row over all tracks (null)."""
+def trigger_summary(rows: DataFrame, by: str, subtotal: bool = False, labels: Sequence[str] = ()) -> DataFrame:
+    """Triggered, regenerated and recovered counts by track, with rates; subtotal adds a row over all tracks (null).
+
+    labels: for each the totals of pre_<label> and post_<label>, the label counts before and
+    after a second answer; missing counts are none.
+    """
     grouped = rows.rollup(by) if subtotal else rows.groupBy(by)
     n = F.count("*")
     hit, again, back = (F.count_if(c) for c in ("triggered", "regenerated", "recovered"))
-    return grouped.agg(n.alias("n"), hit.alias("n_triggered"), (hit / n).alias("trigger_rate"), again.alias("n_regenerated"), back.alias("n_recovered"), F.try_divide(back, hit).alias("recovery_rate"))
+    totals = (F.coalesce(F.sum(f"{when}_{c}"), F.lit(0)).cast("bigint").alias(f"{when}_{c}") for when in ("pre", "post") for c in labels)
+    return grouped.agg(n.alias("n"), hit.alias("n_triggered"), (hit / n).alias("trigger_rate"), again.alias("n_regenerated"), back.alias("n_recovered"), F.try_divide(back, hit).alias("recovery_rate"), *totals)
 
 
 def micro(rows: DataFrame, key: list[str], cls: str, predicted: str, gold: str) -> DataFrame:

@@ -66,6 +66,11 @@ def skyline(summary: DataFrame, more: str, less: str, tie: str) -> DataFrame:
     return summary.withColumn("__least", F.min(less).over(after)).where(F.col("__least").isNull() | (F.col(less) < F.col("__least"))).drop("__least")
 
 
+def marked(summary: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """summary with mark: "*" where the interval leaves out 0, else nothing."""
+    return summary.withColumn("mark", F.when((F.col(low) > 0) | (F.col(high) < 0), "*").otherwise(""))
+
+
 def scatter(rows: DataFrame, condition: str, text: str, score: str, limit: int = 150) -> DataFrame:
     """rows with words, over (more words than the limit), and the means of words and score of their condition."""
     points = rows.withColumn("words", F.size(words(F.col(text))).cast("bigint")).withColumn("over", F.col("words") > limit)

@@ -166,6 +166,12 @@ def _prf(empty_is_perfect):
 keyword_prf = _prf(True)
 
 
+def keyword_misses(spark, sf_dir):
+    """Hits, false positives and false negatives of every turn and class, sorted."""
+    d = _keywords(spark, sf_dir).select("conv_id", "turn", "class", metrics.set_differences(F.col("predicted"), F.col("gold")).alias("d"))
+    return d.select("conv_id", "turn", "class", *(F.array_join(F.array_sort(f"d.{c}"), "|").alias(c) for c in ("hits", "false_positives", "false_negatives")))
+
+
 def keyword_micro(spark, sf_dir):
     out = metrics.micro(_keywords(spark, sf_dir), ["conv_id", "turn"], "class", "predicted", "gold")
     return out.select("conv_id", "turn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
@@ -198,9 +204,12 @@ def gen_length(spark, sf_dir):
 def _tracks(spark, sf_dir, subtotal) -> DataFrame:
     e = table(spark, sf_dir, "events")
     triggered = F.col("value") > 50
-    rows = e.select("event_type", triggered.alias("triggered"), triggered.alias("regenerated"), (triggered & (F.col("user_id") % 2 == 0)).alias("recovered"))
-    out = metrics.trigger_summary(rows, "event_type", subtotal)
-    return out.select("event_type", "n", "n_triggered", F.round("trigger_rate", 6).alias("trigger_rate"), "n_regenerated", "n_recovered", F.round("recovery_rate", 6).alias("recovery_rate"))
+    again = triggered & (F.col("event_id") % 3 != 0)
+    pre = F.when(triggered, F.col("user_id") % 3)
+    counts = (F.col("user_id") % 4).alias("pre_supported"), pre.alias("pre_unsupported"), F.when(again, F.col("user_id") % 4 + pre).alias("post_supported"), F.when(again, F.lit(0)).alias("post_unsupported")
+    rows = e.select("event_type", triggered.alias("triggered"), again.alias("regenerated"), (again & (F.col("user_id") % 2 == 0)).alias("recovered"), *counts)
+    out = metrics.trigger_summary(rows, "event_type", subtotal, ("supported", "unsupported"))
+    return out.withColumns({c: F.round(c, 6) for c in ("trigger_rate", "recovery_rate")})
 
 
 def track_summary(spark, sf_dir):
@@ -296,7 +305,7 @@ def contrast_table(spark, sf_dir):
     scores = _facts(spark, sf_dir).where("condition IN ('click', 'purchase', 'view')")
     everywhere = scores.groupBy("example").count().where("count = 3").select("example")
     out = stats.contrasts(scores.join(everywhere, "example"), CONTRASTS)
-    return out.select("a", "b", "field", *(F.round(c, 3).alias(c) for c in ("delta", "low", "high")), F.round("p", 6).alias("p"), "significant")
+    return report.marked(out).select("a", "b", "field", *(F.round(c, 3).alias(c) for c in ("delta", "low", "high")), F.round("p", 6).alias("p"), "significant", "mark")
 
 
 def qa_aggregate(spark, sf_dir):
@@ -349,7 +358,7 @@ def dq_checks(spark, sf_dir):
     ])
 
 
-QUERIES = {f.__name__: f for f in (sentence_split, truncate_words, json_extract, keyword_parse, parse_rate, verdict_parse, label_dist, poison_context, nli_vote, claim_pairs, hallucination_ctx, hallucination_ref, rouge_l, greedy_match_f1, keyword_micro, keyword_agg, keyword_pivot, latency_summary, gen_length, track_summary, track_rollup, delta_report, score_quantiles, minmax_norm, running_min_frontier, score_fact, bootstrap_ci, paired_bootstrap, permutation_test, pairwise_report, report_qa, contrast_table, qa_aggregate, formatted_scores, length_scatter, nested_keywords, track_filter, run_plan, dq_checks)}
+QUERIES = {f.__name__: f for f in (sentence_split, truncate_words, json_extract, keyword_parse, parse_rate, verdict_parse, label_dist, poison_context, nli_vote, claim_pairs, hallucination_ctx, hallucination_ref, rouge_l, greedy_match_f1, keyword_misses, keyword_micro, keyword_agg, keyword_pivot, latency_summary, gen_length, track_summary, track_rollup, delta_report, score_quantiles, minmax_norm, running_min_frontier, score_fact, bootstrap_ci, paired_bootstrap, permutation_test, pairwise_report, report_qa, contrast_table, qa_aggregate, formatted_scores, length_scatter, nested_keywords, track_filter, run_plan, dq_checks)}
 QUERIES |= {"rouge1": _rouge(1), "rouge2": _rouge(2), "keyword_prf": keyword_prf, "keyword_prf_strict": _prf(False)}
 
 _TERMS, _WORDS, _SENT = sql.terms, sql.words, sql.sentences
@@ -402,7 +411,7 @@ def _prf_sql(source: str, keys: str, blank: str) -> str:
 
 
 _PRF = _prf_sql("kw", "conv_id, turn, class", "1.0::DOUBLE")
-_TRACK = "count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_triggered, round(count(*) FILTER (WHERE value > 50) / count(*)::DOUBLE, 6) AS trigger_rate, count(*) FILTER (WHERE value > 50) AS n_regenerated, count(*) FILTER (WHERE value > 50 AND user_id % 2 = 0) AS n_recovered, round(count(*) FILTER (WHERE value > 50 AND user_id % 2 = 0) / nullif(count(*) FILTER (WHERE value > 50), 0)::DOUBLE, 6) AS recovery_rate FROM events"
+_TRACK = "count(*) AS n, count(*) FILTER (WHERE value > 50) AS n_triggered, round(count(*) FILTER (WHERE value > 50) / count(*)::DOUBLE, 6) AS trigger_rate, count(*) FILTER (WHERE value > 50 AND event_id % 3 <> 0) AS n_regenerated, count(*) FILTER (WHERE value > 50 AND event_id % 3 <> 0 AND user_id % 2 = 0) AS n_recovered, round(count(*) FILTER (WHERE value > 50 AND event_id % 3 <> 0 AND user_id % 2 = 0) / nullif(count(*) FILTER (WHERE value > 50), 0)::DOUBLE, 6) AS recovery_rate, sum(user_id % 4)::BIGINT AS pre_supported, coalesce(sum(user_id % 3) FILTER (WHERE value > 50), 0)::BIGINT AS pre_unsupported, coalesce(sum(user_id % 4 + user_id % 3) FILTER (WHERE value > 50 AND event_id % 3 <> 0), 0)::BIGINT AS post_supported, 0::BIGINT AS post_unsupported FROM events"
 _FACTS = "facts AS MATERIALIZED (SELECT event_type AS condition, user_id AS example, 'value' AS field, round(avg(value), 9) AS value FROM events GROUP BY ALL HAVING avg(value) IS NOT NULL)"
 _PAIRED = """halves AS (SELECT user_id, event_id % 2 AS h, round(avg(value), 9) AS v FROM events GROUP BY ALL),
 facts AS MATERIALIZED (SELECT 'even|odd' AS condition, x.user_id AS example, round(x.v - y.v, 6) AS value FROM halves x JOIN halves y ON x.user_id = y.user_id AND x.h = 0 AND y.h = 1)"""
@@ -446,6 +455,8 @@ ORACLES = {
       SELECT candidate, reference, round(p, 5) AS precision, round(r, 5) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 5) AS f1 FROM p JOIN q USING (candidate, reference)""",
     "keyword_prf": f"WITH {_PAIRS} {_PRF}",
     "keyword_prf_strict": f"WITH {_PAIRS} {_prf_sql('kw', 'conv_id, turn, class', '0.0::DOUBLE')}",
+    "keyword_misses": f"""WITH {_PAIRS} SELECT conv_id, turn, class, coalesce(array_to_string(list_sort(list_filter(p, lambda x: list_contains(g, x))), '|'), '') AS hits,
+      coalesce(array_to_string(list_sort(list_filter(p, lambda x: NOT list_contains(g, x))), '|'), '') AS false_positives, coalesce(array_to_string(list_sort(list_filter(g, lambda x: NOT list_contains(p, x))), '|'), '') AS false_negatives FROM kw""",
     "keyword_micro": f"""WITH {_PAIRS}, u AS (SELECT conv_id, turn, flatten(list(list_transform(p, lambda x: class || '::' || x))) AS p, flatten(list(list_transform(g, lambda x: class || '::' || x))) AS g FROM kw GROUP BY conv_id, turn) {_prf_sql('u', 'conv_id, turn', '1.0::DOUBLE')}""",
     "keyword_agg": f"WITH {_PAIRS}, s AS ({_PRF}) SELECT class, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(f1), 5) AS f1 FROM s GROUP BY class",
     "keyword_pivot": f"""WITH {_PAIRS}, s AS ({_PRF}) SELECT turn, round(avg(f1) FILTER (WHERE class = 'short'), 5) AS "short", round(avg(f1) FILTER (WHERE class = 'middle'), 5) AS "middle", round(avg(f1) FILTER (WHERE class = 'long'), 5) AS "long" FROM s GROUP BY turn""",
@@ -481,7 +492,7 @@ ORACLES = {
       flips AS (SELECT condition, r, round(avg(CASE WHEN h % 2 = 0 THEN value ELSE -value END), 6) AS m FROM ({_drawn_sql(43)}) GROUP BY condition, r),
       seen AS (SELECT condition, round(avg(value), 6) AS mean FROM facts GROUP BY condition),
       p AS (SELECT condition, (count(*) FILTER (WHERE abs(m) >= abs(mean)) + 1) / (count(*) + 1)::DOUBLE AS p FROM flips JOIN seen USING (condition) GROUP BY condition)
-      SELECT a, b, field, round(mean * scale, 3) AS delta, round(low * scale, 3) AS low, round(high * scale, 3) AS high, round(p, 6) AS p, coalesce((low > 0 OR high < 0) AND p < 0.05, false) AS significant
+      SELECT a, b, field, round(mean * scale, 3) AS delta, round(low * scale, 3) AS low, round(high * scale, 3) AS high, round(p, 6) AS p, coalesce((low > 0 OR high < 0) AND p < 0.05, false) AS significant, CASE WHEN low > 0 OR high < 0 THEN '*' ELSE '' END AS mark
       FROM wanted LEFT JOIN ci ON ci.condition = a || '|' || b LEFT JOIN p ON p.condition = a || '|' || b""",
     "qa_aggregate": f"""WITH each AS (SELECT event_type, user_id AS example, round(avg(value), 9) AS mean, round(min(value), 9) AS least, round(max(value), 9) AS most, count(*)::DOUBLE AS events, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0 END), 9) AS high FROM events GROUP BY event_type, user_id),
       facts AS MATERIALIZED (SELECT event_type || '|' || f AS condition, example, value FROM (UNPIVOT each ON mean, least, most, events, high INTO NAME f VALUE value)), {_BOOT}

@@ -41,6 +41,12 @@ def read_results(spark: SparkSession, paths: Sequence[str], schema: T.StructType
     return parsed.where("_broken IS NULL").drop("_broken")
 
 
+def write_result(examples: DataFrame, aggregate: DataFrame, path: str) -> None:
+    """A result document: JSON lines of all examples and of the aggregate, in two folders under path."""
+    examples.write.mode("overwrite").json(f"{path}/per_example")
+    aggregate.write.mode("overwrite").json(f"{path}/aggregate")
+
+
 def start_log(df: DataFrame, path: str) -> None:
     """Begin an append-only JSON log with these rows."""
     df.write.mode("overwrite").json(path)

@@ -292,3 +292,15 @@ def test_numbers_in_reports(spark):
     m, lo, hi = (F.col(c) for c in "mlh")
     shown = df.select(T.mean_interval(m, lo, hi), T.mean_interval(m, lo, hi, percent=True), T.plus_minus(m, lo), T.fixed(m, 1), T.sign(m)).collect()
     assert list(map(tuple, shown)) == [("0.1235 [0.1000, 0.2000]", "12.35 [10.00, 20.00]", "0.12 ± 0.10", "0.1", "+"), ("--", "--", "-- ± --", "--", "")]
+
+
+def test_verdict_of_four_labels(spark):
+    raw = '{"claims":[{"text":"a","label":"weak_entailment"},{"text":"b","label":"Citation_Noncompliance"},{"text":" c ","label":"?"}],"overall":"weak_entailment"}'
+    got = spark.createDataFrame([(raw,)], "t string").select(verify.verdict(F.col("t"), verify.LABELS4).alias("v")).first().v
+    assert (got.n_claims, got.n_supported, got.n_weak_entailment, got.n_citation_noncompliance, got.n_unsupported, got.overall, got.worst_claims) == (3, 0, 1, 1, 1, "weak_entailment", ["c"])
+
+
+def test_trigger_summary_with_label_totals(spark):
+    df = spark.createDataFrame([("a", True, True, False, 2, 3), ("a", False, False, None, 1, None)], "t string, triggered boolean, regenerated boolean, recovered boolean, pre_x long, post_x long")
+    got = metrics.trigger_summary(df, "t", labels=("x",)).first()
+    assert (got.n, got.n_triggered, got.n_recovered, got.pre_x, got.post_x) == (2, 1, 0, 3, 3)

@@ -173,3 +173,10 @@ def test_tracks_and_plans(spark):
     assert status() == {"x": "skip", "y": "run"}
     assert status(force=True) == {"x": "run", "y": "run"}
     assert status(dry_run=True) == {"x": "skip", "y": "dry"}
+
+
+def test_result_documents(spark, tmp_path):
+    examples = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id long, score double")
+    readers.write_result(examples, examples.agg(F.avg("score").alias("mean")), f"{tmp_path}/r")
+    assert spark.read.json(f"{tmp_path}/r/per_example").count() == 2
+    assert spark.read.json(f"{tmp_path}/r/aggregate").first()["mean"] == pytest.approx(0.6)
