@@ -310,14 +310,13 @@ def contrast_table(spark, sf_dir):
 
 def qa_aggregate(spark, sf_dir):
     """Five score fields of each user and kind of event, as means with intervals."""
-    e = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(*(F.round(f, 9).alias(n) for n, f in FIELDS.items()))
-    out = stats.aggregate(e, "event_type", "user_id", list(FIELDS))
+    high = F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0))
+    fields = {"mean": F.avg("value"), "least": F.min("value"), "most": F.max("value"), "events": F.count("*").cast("double"), "high": high}
+    e = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(*(F.round(f, 9).alias(n) for n, f in fields.items()))
+    out = stats.aggregate(e, "event_type", "user_id", list(fields))
     return out.select("condition", *(F.round(c, 4).alias(c) for c in out.columns if c != "condition"))
 
 
-FIELDS = {"mean": F.avg("value"), "least": F.min("value"), "most": F.max("value"), "events": F.count("*").cast("double"), "high": F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0))}
-
-
 def formatted_scores(spark, sf_dir):
     """Report cells of each kind of event; a kind of its own has no figures."""
     s = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d"))
