@@ -23,6 +23,8 @@ from fathomline.llm.common import settle
 FANOUT = 16
 #: Records in an archive; sets the number of levels of its tree.
 ARCHIVE = 1024
+#: Archives of records without an id are numbered down from here; 2^20 of them at most.
+NAMELESS = -(1 << 62)
 
 
 def warc_record(identity: Column, url: Column, payload: Column) -> Column:
@@ -41,17 +43,24 @@ def warc_record(identity: Column, url: Column, payload: Column) -> Column:
 
 
 def archived(df: DataFrame, id_col: str, record: Column, archive_records: int = ARCHIVE) -> DataFrame:
-    """(archive, place, id, offset, length, digest) of every row that has an id; the bytes stay where they are.
+    """(archive, place, id, offset, length, digest) of every row; the bytes stay where they are.
 
     An archive holds the ids of one run of archive_records numbers, in order; a record's
     place in it is its id's, so a lost record leaves its place empty and moves the offsets
     of what follows, and nothing else. Rows that repeat an id share a place: their records
-    follow each other in the order of their digests.
+    follow each other in the order of their digests. Rows without an id lie in archives of
+    their own, below all others, by the first bits of their digests.
     """
-    rows = df.where(F.col(id_col).isNotNull()).select(F.floor(F.col(id_col) / archive_records).cast("long").alias("archive"), F.pmod(F.col(id_col), F.lit(archive_records)).cast("int").alias("place"), F.col(id_col).alias("id"), record.alias("record"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), record.alias("record"))
     rows = rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+    bits = lambda start: F.conv(F.substring("digest", start, 5), 16, 10).cast("long")
+    named = F.col("id").isNotNull()
+    rows = rows.withColumns({
+        "archive": F.when(named, F.floor(F.col("id") / archive_records).cast("long")).otherwise(F.lit(NAMELESS) - bits(1)),
+        "place": F.when(named, F.pmod("id", F.lit(archive_records))).otherwise(F.pmod(bits(6), F.lit(archive_records))).cast("int"),
+    })
     order = Window.partitionBy("archive").orderBy("place", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.drop("record").withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
+    return rows.select("archive", "place", "id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"), "length", "digest")
 
 
 def tree(records: DataFrame, archive_records: int = ARCHIVE, fanout: int = FANOUT) -> list[DataFrame]:
@@ -95,17 +104,23 @@ def audit(one: DataFrame, other: DataFrame, archive_records: int = ARCHIVE, fano
 
     one, other: frames of `archived`. status: sound, corrupt, missing (not in the other) or
     extra (only there). Records whose leaf agrees are sound without being compared. offset,
-    length and digest are the first replica's where it has the record. Empty replicas are fine.
+    length and digest are the first replica's where it has the record. Records without an id
+    are told apart by their digests, so one that was altered is missing and extra. Empty
+    replicas are fine.
     """
     one, other = settle(one), settle(other)
     leaves, _ = differing(tree(one, archive_records, fanout), tree(other, archive_records, fanout), fanout)
     odd = leaves.select("archive", F.col("node").alias("place"))
-    turn = lambda x: x.withColumn("turn", F.row_number().over(Window.partitionBy("archive", "place").orderBy("digest")))
-    keys = ["archive", "place", "id", "turn"]
-    a = turn(one.join(odd, ["archive", "place"], "left_semi")).select(*keys, "offset", "length", "digest")
-    b = turn(other.join(odd, ["archive", "place"], "left_semi")).select(*keys, F.col("offset").alias("o"), F.col("length").alias("l"), F.col("digest").alias("other_digest"))
+    keys = ["archive", "place", "name", "turn"]
+
+    def turn(x: DataFrame) -> DataFrame:
+        x = x.join(odd, ["archive", "place"], "left_semi").withColumn("name", F.coalesce(F.col("id").cast("string"), "digest"))
+        return x.withColumn("turn", F.row_number().over(Window.partitionBy("archive", "place", "name").orderBy("digest")))
+
+    a = turn(one).select(*keys, "id", "offset", "length", "digest")
+    b = turn(other).select(*keys, F.col("id").alias("i"), F.col("offset").alias("o"), F.col("length").alias("l"), F.col("digest").alias("other_digest"))
     status = F.when(F.col("other_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("digest") != F.col("other_digest"), "corrupt").otherwise("sound")
-    damaged = a.join(b, keys, "full").select("archive", "id", F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "l").alias("length"), "digest", "other_digest", status.alias("status"))
+    damaged = a.join(b, keys, "full").select("archive", F.coalesce("id", "i").alias("id"), F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "l").alias("length"), "digest", "other_digest", status.alias("status"))
     sound = one.join(odd, ["archive", "place"], "left_anti").select("archive", "id", "offset", "length", "digest", F.col("digest").alias("other_digest"), F.lit("sound").alias("status"))
     return sound.unionByName(damaged)
 
@@ -128,24 +143,28 @@ def op9_query(spark, sf_dir: str) -> DataFrame:
 #: Offsets, digests and statuses follow from the records alone; the trees only save comparisons.
 OP9_SQL = r"""
 WITH replica AS (
-  SELECT 1 AS side, page_id, url, html FROM pages WHERE page_id IS NOT NULL
+  SELECT 1 AS side, page_id, url, html FROM pages
   UNION ALL
-  SELECT 2, page_id, url, CASE WHEN page_id % 97 = 5 THEN '?' || substr(html, 2) ELSE html END FROM pages WHERE page_id % 389 <> 7
+  SELECT 2, page_id, url, CASE WHEN page_id % 97 = 5 THEN '?' || substr(html, 2) ELSE html END FROM pages WHERE page_id IS NULL OR page_id % 389 <> 7
   UNION ALL
   SELECT 2, page_id + 10000019, url, html FROM pages WHERE page_id % 1009 = 11
 ), record AS (
-  SELECT side, page_id, page_id // 1024 AS archive,
-         encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10)
+  SELECT side, page_id,
+         encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, 'none') || '>' || chr(13) || chr(10)
          || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
          || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS bytes
   FROM replica
 ), digested AS (
-  SELECT side, page_id, archive, octet_length(bytes) AS length, sha256(bytes) AS digest FROM record
+  SELECT side, page_id, octet_length(bytes) AS length, sha256(bytes) AS digest FROM record
+), laid AS (
+  SELECT *, coalesce(page_id // 1024, -4611686018427387904 - ('0x' || substr(digest, 1, 5))::BIGINT) AS archive,
+         coalesce(page_id % 1024, ('0x' || substr(digest, 6, 5))::BIGINT % 1024) AS place, coalesce(page_id::VARCHAR, digest) AS name FROM digested
 ), placed AS (
-  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM digested
+  SELECT *, row_number() OVER (PARTITION BY side, name ORDER BY digest) AS turn,
+         CAST(coalesce(sum(length) OVER (PARTITION BY side, archive ORDER BY place, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM laid
 ), a AS (SELECT * FROM placed WHERE side = 1), b AS (SELECT * FROM placed WHERE side = 2)
 SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.archive, b.archive) AS archive, coalesce(a."offset", b."offset") AS "offset",
        coalesce(a.length, b.length) AS length, a.digest AS digest, b.digest AS other_digest,
        CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'corrupt' ELSE 'sound' END AS status
-FROM a FULL JOIN b ON a.page_id = b.page_id
+FROM a FULL JOIN b ON a.name = b.name AND a.turn = b.turn
 """

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -320,7 +321,27 @@ def test_warc_records(spark):
     assert b"Content-Length: 2" in head and b"http://h/x" in head and rest == "é\r\n\r\n".encode()
     assert two.endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
     offsets = fixity.archived(df, "page_id", fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))).collect()
-    assert [(r.id, r.offset, r.length) for r in offsets] == [(1, 0, len(one))]
+    assert sorted(((r.id, r.offset, r.length) for r in offsets), key=repr) == [(1, 0, len(one)), (None, 0, len(two))]
+
+
+def test_fixity_audits_records_without_id(spark):
+    shape = "page_id long, url string, html string"
+    rows = [(None, "u", f"page {i}") for i in range(40)] + [(None, "u", "page 3")] * 2 + [(7, "u", "x"), (7, "u", "x"), (None, None, None)]
+    other = [r for r in rows if r[2] != "page 5"] + [(None, "u", "page five"), (None, "u", "page 8")]
+    other.remove((None, "u", "page 3"))
+    record = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    a, b = (fixity.archived(spark.createDataFrame(r, shape).repartition(3), "page_id", record, 64) for r in (rows, other))
+    got = fixity.audit(a, b, 64, 4)
+    assert Counter((r.id, r.status) for r in got.collect()) == {(None, "sound"): 41, (7, "sound"): 2, (None, "missing"): 2, (None, "extra"): 2}
+    assert fixity.audit(a, a, 64, 4).where("status <> 'sound'").count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows + [(i, "h", f"<p>{i}</p>") for i in range(1, 1100, 6)])
+    pages = spark.createDataFrame(con.execute("SELECT * FROM pages").fetchall(), shape)
+    a, b = (fixity.archived(x, "page_id", record) for x in (pages, fixity.damaged_copy(pages)))
+    columns = ["id", "archive", "offset", "length", "digest", "other_digest", "status"]
+    want = con.execute(f"SELECT {', '.join(columns).replace('id', 'page_id', 1).replace('offset', chr(34) + 'offset' + chr(34))} FROM ({fixity.OP9_SQL})").fetchall()
+    assert sorted(map(tuple, fixity.audit(a, b).select(*columns).collect()), key=repr) == sorted(want, key=repr)
 
 
 def fitting(host, path):
