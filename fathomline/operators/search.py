@@ -73,13 +73,38 @@ def fused(dense_scores: DataFrame, sparse_scores: DataFrame, pool: int = 50, off
     """(query, id, dense, sparse, rd, rs, rrf, rank): reciprocal-rank fusion over all chunks, the best `pool` of each query.
 
     Both rankings cover every chunk with a dense score; a chunk without a lexical match has 0.
+    Ids are distinct within a query.
+
+    A chunk of the pool lies under offset + 2 * pool in one of the rankings: two ranks beyond
+    that are worth less than the last of the first `pool` ranks alone. So these heads are the
+    candidates, found with a limit before the shuffle; a candidate's rank in the other ranking
+    is a count of better rows, made by putting every row between the sorted candidates and
+    adding up. No task holds or sorts a whole ranking.
     """
     rows = dense_scores.withColumnRenamed("score", "dense").join(sparse_scores.withColumnRenamed("score", "sparse"), ["query", "id"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
-    place = lambda s: (F.row_number().over(Window.partitionBy("query").orderBy(*by_score(s))) - 1).cast("bigint")
-    ranked = rows.withColumns({"rd": place("dense"), "rs": place("sparse")})
+    rows = rows.where(F.col("query").isNotNull())  # said here, so that all three uses below share one exchange
+    head = offset + 2 * pool
+    key = lambda s: F.struct((F.round(s, 6) + 0.0).alias("s"), F.col("id").alias("id"))
+    place = lambda s: F.row_number().over(Window.partitionBy("query").orderBy(F.desc(key(s))))
+    heads = [rows.withColumn("place", place(s)).where(F.col("place") <= head).drop("place") for s in ("dense", "sparse")]
+    candidates = heads[0].unionByName(heads[1]).distinct()
+    lists = candidates.groupBy("query").agg(*(F.sort_array(F.collect_list(key(s)), asc=False).alias(f"{s}_keys") for s in ("dense", "sparse")))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range((2 * head).bit_length()))))
+
+    def better(s: str) -> Column:
+        """How many candidates of the row's query come before it, by halving steps."""
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(f"{s}_keys", at + step - 1) > key(s), at + step).otherwise(at))
+
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), better(s).alias("at")) for s in ("dense", "sparse")))
+    tally = rows.join(lists, "query").select("query", F.inline(sides)).groupBy("query", "side", "at").count()
+    ranks = tally.select("query", "side", "at", (F.sum("count").over(Window.partitionBy("query", "side").orderBy("at")) - 1).alias("r"))
+    both = ranks.groupBy("query", "at").agg(*(F.max(F.when(F.col("side") == s, F.col("r"))).alias(s) for s in ("dense", "sparse")))
+    out = candidates.withColumns({"da": place("dense") - 1, "sa": place("sparse") - 1})
+    for at, side, name in (("da", "dense", "rd"), ("sa", "sparse", "rs")):
+        out = out.join(both.select("query", F.col("at").alias(at), F.col(side).alias(name)), ["query", at])
     score = F.lit(1.0) / (offset + F.col("rd")) + F.lit(1.0) / (offset + F.col("rs"))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("rrf", 9)), F.desc("id")))
-    return ranked.withColumn("rrf", score).withColumn("rank", best).where(F.col("rank") <= pool).withColumn("rank", (F.col("rank") - 1).cast("bigint"))
+    return out.drop("da", "sa").withColumn("rrf", score).withColumn("rank", best).where(F.col("rank") <= pool).withColumn("rank", (F.col("rank") - 1).cast("bigint")).select("query", "id", "dense", "sparse", "rd", "rs", "rrf", "rank")
 
 
 def overlap_scorer(query: Column, text: Column) -> Column:

@@ -304,3 +304,20 @@ def test_trigger_summary_with_label_totals(spark):
     df = spark.createDataFrame([("a", True, True, False, 2, 3), ("a", False, False, None, 1, None)], "t string, triggered boolean, regenerated boolean, recovered boolean, pre_x long, post_x long")
     got = metrics.trigger_summary(df, "t", labels=("x",)).first()
     assert (got.n, got.n_triggered, got.n_recovered, got.pre_x, got.post_x) == (2, 1, 0, 3, 3)
+
+
+def test_fusion_equals_full_rankings(spark):
+    """More rows than the candidates of both rankings, many ties, and chunks that no query term touches."""
+    rng = random.Random(12)
+    n, pool = 400, 6
+    dense = {q: {i: round(rng.uniform(-1, 1), 1 if q else 6) for i in range(n)} for q in (0, 1)}
+    sparse = {q: {i: float(rng.randint(0, 9)) for i in rng.sample(range(n), 40 if q else n)} for q in (0, 1)}
+    frame = lambda s: spark.createDataFrame([(q, i, v) for q in s for i, v in s[q].items()], "query int, id long, score double")
+    got = {(r.query, r["rank"]): (r.id, r.rd, r.rs) for r in search.fused(frame(dense), frame(sparse), pool).collect()}
+    assert len(got) == 2 * pool
+    for q in (0, 1):
+        place = lambda s: {i: at for at, i in enumerate(sorted(range(n), key=lambda i: (s.get(i, 0.0), i), reverse=True))}
+        rd, rs = place(dense[q]), place(sparse[q])
+        best = sorted(range(n), key=lambda i: (round(1 / (60 + rd[i]) + 1 / (60 + rs[i]), 9), i), reverse=True)[:pool]
+        assert [got[q, r] for r in range(pool)] == [(i, rd[i], rs[i]) for i in best]
+    assert search.fused(frame(dense).limit(0), frame(sparse).limit(0), pool).count() == 0
