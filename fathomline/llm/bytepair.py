@@ -36,66 +36,69 @@ FREQUENT_WORDS, FREQUENT_BYTES = 1 << 18, 1 << 22
 COUNTED_AT_ONCE = 1 << 17
 #: Rows put together at once after encoding and in decoding.
 ROWS_AT_ONCE = 500
-WIDTH = 16  # bits of an id
-FIRST_BIT, SECOND_BIT = 16, 38  # of a pair's hash
-NO_RANK = 1 << WIDTH
+WIDTH, SHIFT = 16, 46  # bits of an id, and bits below a rank
+NO_ID, NO_RANK = (1 << WIDTH) - 1, 1 << WIDTH
+LANES = 64  # slots of the pairs with one first id
 
 
 class RankMap(NamedTuple):
-    """A perfect hash of pairs (a, b) of ids, which are at (second + shifts[first]) mod the table's size.
+    """Pairs (a, b) of ids without collision in one table, at b + shifts[slots[a] + b mod LANES].
 
-    first and second are bits from 16 and from 38 on of (a * factors[0]) xor (b * factors[1]);
-    the entry is a * 2^32 + b * 2^16 + rank if it belongs to the pair, and -1 if to none.
+    The entry of a pair holds its rank above SHIFT and the pair below it, a * 2^16 + b.
+    first[257 * x + y] holds the rank of two bytes x and y above the id of x; y is 256 behind
+    the last byte.
     """
 
-    factors: tuple[int, int]
+    slots: list[int]
     shifts: list[int]
     table: list[int]
+    first: list[int]
 
 
 @cache
 def rank_map(path: str) -> RankMap:
     """The pairs of ids whose bytes together are a token, with that token's rank.
 
-    Pairs fall into buckets of about four by a first hash; from the largest bucket on, each
-    takes the first shift at which the second hashes of its pairs meet only free places.
-    Two pairs that agree in both hashes call for other factors.
+    Each a takes slots drawn at random in which its pairs meet no other with the same b. From
+    the fullest slot on, each takes the first shift, from a place drawn at random, at which
+    all its entries meet free places; half of the places stay free.
     """
     ranks = ranks_of(path)
-    if max(ranks.values()) >= 1 << WIDTH:
+    if max(ranks.values()) >= NO_ID:
         raise ValueError(f"ids of {path} need more than {WIDTH} bits")
-    pairs = {}
+    rows: dict[int, dict[int, int]] = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
-                pairs[(a << WIDTH) + b] = rank
-    keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
-    bits = max(int(len(keys) * 1.5).bit_length(), 4)
-    narrow, size, rng = bits - 2, 1 << bits, np.random.default_rng(1)
-    while True:
-        factors = tuple(int(f) | 1 for f in rng.integers(1 << 45, 1 << 46, 2))
-        mixed = ((keys >> WIDTH) * factors[0]) ^ ((keys & ((1 << WIDTH) - 1)) * factors[1])
-        first, second = (mixed >> FIRST_BIT) & ((1 << narrow) - 1), (mixed >> SECOND_BIT) & (size - 1)
-        if len(np.unique((first << bits) + second)) == len(keys):
-            break
-    by_bucket = np.argsort(first, kind="stable")
-    buckets = np.split(by_bucket, np.flatnonzero(np.diff(first[by_bucket])) + 1) if len(keys) else []
-    table, shifts = np.full(size, -1, np.int64), [0] * (1 << narrow)
-    free, tries = np.ones(size, bool), np.arange(256)[:, None]
-    for bucket in sorted(buckets, key=len, reverse=True):
-        for start in range(0, size, 256):
-            fits = free[(second[bucket] + start + tries) & (size - 1)].all(axis=1)
+                rows.setdefault(a, {})[b] = rank
+    rng = np.random.default_rng(1)
+    slots, shifts, members = [0] * (1 << WIDTH), [0] * ((1 << WIDTH) + LANES), {}
+    for a in sorted(rows, key=lambda a: len(rows[a]), reverse=True):
+        for slot in map(int, rng.integers(1 << WIDTH, size=1000)):
+            if not any(b in members.get(slot + b % LANES, ()) for b in rows[a]):
+                break
+        else:
+            raise RuntimeError(f"no slots for {len(rows[a])} pairs of {path}")
+        slots[a] = slot
+        for b, rank in rows[a].items():
+            members.setdefault(slot + b % LANES, {})[b] = (rank << SHIFT) + (a << WIDTH) + b
+    places = max(2 * sum(map(len, rows.values())), 256)
+    table, tries = np.full(places + (1 << WIDTH), -1, np.int64), np.arange(256)[:, None]
+    for slot in sorted(members, key=lambda slot: len(members[slot]), reverse=True):
+        seconds, begin = np.array(list(members[slot])), int(rng.integers(places))
+        for at in range(0, places, 256):
+            shift = (begin + at + tries) % places
+            fits = (table[shift + seconds] < 0).all(axis=1)
             if fits.any():
-                shift = start + int(fits.argmax())
+                shifts[slot] = int(shift[fits.argmax(), 0])
                 break
         else:
-            raise RuntimeError(f"no place for {len(bucket)} pairs of {path}")
-        at = (second[bucket] + shift) & (size - 1)
-        free[at] = False
-        table[at] = (keys[bucket] << WIDTH) + values[bucket]
-        shifts[int(first[bucket[0]])] = shift
-    return RankMap(factors, shifts, table.tolist())
+            raise RuntimeError(f"no place for {len(seconds)} pairs of {path}")
+        table[shifts[slot] + seconds] = list(members[slot].values())
+    one = [ranks[bytes([x])] for x in range(256)]
+    first = [(rows.get(one[x], {}).get(one[y] if y < 256 else NO_ID, NO_RANK) << SHIFT) + one[x] for x in range(256) for y in range(257)]
+    return RankMap(slots, shifts, table.tolist(), first)
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -108,42 +111,52 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _lets(values: list[Column], body: Callable[..., Column], *bound: Column) -> Column:
+    """body over several values; a large literal bound so is in the plan once, however often it is used."""
+    return _let(values[0], lambda v: _lets(values[1:], body, *bound, v)) if values else body(*bound)
+
+
 def merged(words: Column, path: str) -> Column:
-    """Token ids of each byte array in an array of them."""
+    """Token ids of each byte array in an array of them.
+
+    A word is folded as an array of its parts, each one number: from the top the rank of the
+    pair that it begins, the place of its first byte and its id. So the least number is the
+    first pair of least rank.
+    """
     known = rank_map(path)
-    shifts, table = _literal(known.shifts, "int"), _literal(known.table, "bigint")
-    bytes_ = _literal([ranks_of(path)[bytes([b])] for b in range(256)], "int")
-    bits = [len(x).bit_length() - 1 for x in (known.shifts, known.table)]
-    part = lambda h, at, n: F.shiftright(h, at).bitwiseAND((1 << n) - 1).cast("int")
-    entry = lambda h: F.get(table, (part(h, SECOND_BIT, bits[1]) + F.get(shifts, part(h, FIRST_BIT, bits[0]))).bitwiseAND((1 << bits[1]) - 1))
-
-    def rank_of(a: Column, b: Column) -> Column:
-        mixed = (a.cast("bigint") * known.factors[0]).bitwiseXOR(b.cast("bigint") * known.factors[1])
-        pair = a.cast("bigint") * (1 << WIDTH) + b
-        return _let(_let(mixed, entry), lambda e: F.when(F.shiftright(e, WIDTH) == pair, e.bitwiseAND((1 << WIDTH) - 1).cast("int")).otherwise(NO_RANK))
-
-    def merge(state: Column, best: Column, at: Column) -> Column:
+    literals = [_literal(known.slots, "int"), _literal(known.shifts, "int"), _literal(known.table, "bigint"), _literal(known.first, "bigint")]
+    return _lets(literals, lambda *tables: _folded(words, *tables))
+
+
+def _folded(words: Column, slots: Column, shifts: Column, table: Column, first: Column) -> Column:
+    id_of = lambda part: part.bitwiseAND(NO_ID).cast("int")
+
+    def ranked(a: Column, b: Column) -> Column:
+        """The rank of a pair in its place in a part."""
+        entry = F.get(table, F.get(shifts, F.get(slots, a) + b.bitwiseAND(LANES - 1)) + b)
+        pair = F.shiftleft(a.cast("bigint"), WIDTH) + b
+        return _let(entry, lambda e: F.when(e.bitwiseAND((1 << 2 * WIDTH) - 1) == pair, e - pair).otherwise(NO_RANK << SHIFT))
+
+    def merge(state: Column, least: Column, at: Column) -> Column:
         """Replace the pair at a place by the token of its rank; only the pairs on both sides are looked up again."""
-        parts, ranks = state["parts"], state["ranks"]
-        none = F.array().cast("array<int>")
-        left = F.when(at > 1, F.array(rank_of(F.get(parts, at - 2), best))).otherwise(none)
-        right = F.when(at < F.size(ranks), F.array(rank_of(best, F.get(parts, at + 1)))).otherwise(none)
-        kept = F.slice(ranks, 1, F.greatest(at - 2, F.lit(0)))
-        return F.struct(
-            F.concat(F.slice(parts, 1, at - 1), F.array(best), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-            F.concat(kept, left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"),
-        )
+
+        def around(best: Column) -> Column:
+            here = least.bitwiseAND((1 << SHIFT) - 1 - NO_ID) + best + ranked(best, id_of(F.get(state, at + 1)))
+            left = lambda part: F.array(part.bitwiseAND((1 << SHIFT) - 1) + ranked(id_of(part), best), here)
+            changed = F.when(at > 1, _let(F.get(state, at - 2), left)).otherwise(F.array(here))
+            return F.concat(F.slice(state, 1, F.greatest(at - 2, F.lit(0))), changed, F.slice(state, at + 2, F.size(state)))
+
+        return _let(F.shiftright(least, SHIFT).cast("int"), around)
 
     def step(state: Column, _: Column) -> Column:
         """Merge the first pair of least rank, if any pair has one."""
-        found = lambda best: _let(F.array_position(state["ranks"], best).cast("int"), lambda at: merge(state, best, at))
-        return _let(F.array_min(state["ranks"]), lambda best: F.when(best < NO_RANK, found(best)).otherwise(state))
+        found = lambda least: _let(F.array_position(state, least).cast("int"), lambda at: merge(state, least, at))
+        return _let(F.array_min(state), lambda least: F.when(least < NO_RANK << SHIFT, found(least)).otherwise(state))
 
     def fold(word: Column) -> Column:
-        first = F.transform(word, lambda b: F.get(bytes_, b))
         steps = F.when(F.size(word) > 1, F.sequence(F.lit(2), F.size(word))).otherwise(F.array().cast("array<int>"))
-        start = lambda x: F.struct(x.alias("parts"), F.transform(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, i: rank_of(a, F.get(x, i + 1))).alias("ranks"))
-        return F.aggregate(steps, _let(first, start), step, lambda state: state["parts"])
+        start = F.transform(word, lambda x, i: F.get(first, x * 257 + F.coalesce(F.get(word, i + 1), F.lit(256))) + F.shiftleft(i.cast("bigint"), WIDTH))
+        return F.aggregate(steps, start, step, lambda state: F.transform(state, id_of))
 
     return F.transform(words, fold)
 

@@ -36,17 +36,23 @@ def test_encoding_and_decoding_match_the_library(spark):
 
 
 def test_rank_map_finds_every_pair():
-    known = bytepair.rank_map(default_ranks())
-    bits = [len(x).bit_length() - 1 for x in (known.shifts, known.table)]
+    known, low = bytepair.rank_map(default_ranks()), (1 << bytepair.SHIFT) - 1
     ranks = bytepair.ranks_of(default_ranks())
     for token in random.Random(3).sample(sorted(ranks), 2000):
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
-                x = (a << 16) + b
-                mixed = (a * known.factors[0]) ^ (b * known.factors[1])
-                first, second = ((mixed >> at) & ((1 << n) - 1) for at, n in zip((bytepair.FIRST_BIT, bytepair.SECOND_BIT), bits, strict=True))
-                assert known.table[(second + known.shifts[first]) & ((1 << bits[1]) - 1)] == (x << 16) + ranks[token]
+                assert known.table[known.shifts[known.slots[a] + b % bytepair.LANES] + b] == (ranks[token] << bytepair.SHIFT) + (a << 16) + b
+    pieces, rng = {v: k for k, v in ranks.items()}, random.Random(4)
+    for _ in range(20000):  # and no pair that is none
+        x, y = rng.randrange(500), rng.randrange(50000)
+        entry = known.table[known.shifts[known.slots[x] + y % bytepair.LANES] + y]
+        if entry & low == (x << 16) + y:
+            assert ranks[pieces[x] + pieces[y]] == entry >> bytepair.SHIFT
+    for x, y in ((104, 101), (0, 255), (255, 256), (97, 256)):
+        entry = known.first[257 * x + y]
+        assert entry & low == ranks[bytes([x])]
+        assert entry >> bytepair.SHIFT == (ranks.get(bytes([x, y]), bytepair.NO_RANK) if y < 256 else bytepair.NO_RANK)
 
 
 def test_both_libraries_agree():
