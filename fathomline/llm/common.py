@@ -6,13 +6,15 @@ documents is tokenised and hashed without creating one Python object per word.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes handled at once by the vectorised hashers; longer words enlarge their own piece.
 PIECE = 1 << 21
@@ -47,6 +49,22 @@ def settle(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df, written in this order with a number that rises along it; numbers have gaps between the ranges sorted in parallel."""
+    return settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with gapless numbers from 0 in this order: each range sorted in parallel begins where those before it end."""
+    laid = placed(df, name, *order)
+    part, begin, so_far = F.shiftright(name, 33).cast("int"), [], 0
+    for p, n in sorted((r.p, r["count"]) for r in laid.groupBy(part.alias("p")).count().collect()):  # a row for each range
+        begin += [so_far] * (p + 1 - len(begin))
+        so_far += n
+    starts = F.from_json(F.lit(json.dumps(begin)), "array<bigint>")
+    return laid.withColumn(name, F.get(starts, part) + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     x = np.asarray(x, dtype=np.uint64)

@@ -17,6 +17,9 @@ CONTRACT = {
     "op8_quality": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"),
     "op9_fixity": (),
     "op10_urls": ("page_id", "host", "path", "rule", "verdict"),
+    "op11_spelling": ("word", "form", "root", "n", "n_near", "form_n"),
+    "op12_alignment": ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"),
+    "op13_mixing": ("doc_id", "size", "source_size", "target", "taken"),
 }
 
 
