@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 #: Characters of words for the lexical index: letters and digits of any script, and the underscore.
 TERM = r"[\p{L}\p{N}_]+"
-#: White space of any script, for Java's and RE2's regular expressions alike.
+#: The characters of white space, those of one byte in Latin-1 and those beyond.
+NEAR_SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+FAR_SPACES = "\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The same as a class for Java's and RE2's regular expressions alike.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -18,14 +21,20 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
 
 
+#: A class of single Latin-1 characters is one table look-up a character; what holds one of FAR is split at SPACE.
+_NEAR = "[" + "".join(f"\\x{ord(c):02x}" for c in NEAR_SPACES) + "]"
+_FAR = "[\u1680\u2000-\u3000]"
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(NEAR_SPACES + FAR_SPACES))
 
 
 def words(text: Column) -> Column:
     """White-space separated words in order."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    known = F.coalesce(text, F.lit(""))
+    return F.array_remove(F.when(F.rlike(known, F.lit(_FAR)), F.split(known, f"{SPACE}+")).otherwise(F.split(known, f"{_NEAR}+")), "")
 
 
 def joined(items: Column) -> Column:

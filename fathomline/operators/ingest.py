@@ -49,7 +49,9 @@ def chunks(df: DataFrame, text_col: str = "text", window: int = 256, overlap: in
     n = F.size("__t")
     count = F.when(n == 0, 0).when(n <= window, 1).otherwise(F.ceil((n - window) / step) + 1).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    pieces = F.filter(F.transform(starts, lambda i: F.slice("__t", i * step + 1, window)), lambda p: stripped(joined(p)) != "")
+    pieces = F.transform(starts, lambda i: F.slice("__t", i * step + 1, window))
+    if tokens is not None:  # words are never blank
+        pieces = F.filter(pieces, lambda p: F.exists(p, lambda t: stripped(t) != ""))
     return rows.select(*rest, F.posexplode(pieces).alias("chunk_idx", "__p")).select(*rest, "chunk_idx", joined(F.col("__p")).alias("chunk_text"), F.size("__p").alias("token_count"))
 
 

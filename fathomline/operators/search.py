@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.text import stripped, terms
 from fathomline.functions.vectors import dot
+from fathomline.operators import fusion
+from fathomline.sources.store import settle
 
 K1, B = 1.5, 0.75
 RRF_OFFSET = 60
@@ -158,11 +160,11 @@ def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, *, chunk_i
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    similar = dense(queries, vectors, query_id, query_vec, chunk_id, vec)
     if mode == "hybrid":
-        pooled = fused(similar, bm25(lexical_index(chunks, chunk_id, chunk_text), queries, query_id, query_text), pool)
+        both = vectors if chunk_text in vectors.columns else vectors.join(chunks.select(chunk_id, chunk_text), chunk_id)
+        pooled = settle(fusion.hybrid(both, queries, id_col=chunk_id, text_col=chunk_text, vec_col=vec, query_id=query_id, query_text=query_text, query_vec=query_vec, pool=pool, offset=RRF_OFFSET, k1=K1, b=B))
     else:
-        pooled = top(similar.withColumnRenamed("score", "dense"), pool, "dense")
+        pooled = top(dense(queries, vectors, query_id, query_vec, chunk_id, vec).withColumnRenamed("score", "dense"), pool, "dense")
     pooled = pooled.join(vectors.select(F.col(chunk_id).alias("id"), F.col(vec).alias("v")), "id")
     if scorer is not None:
         texts = chunks.select(F.col(chunk_id).alias("id"), F.col(chunk_text).alias("t"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as T
 from fathomline.functions import vectors as V
-from fathomline.operators import dedup, ingest, search
+from fathomline.operators import dedup, fusion, ingest, search, served
 from fathomline.plans import sql
 from fathomline.sources.store import manifest, settle
 
@@ -90,6 +90,15 @@ def bm25_search(spark, sf_dir):
     return search.top(scored, 10).select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+def served_search(spark, sf_dir):
+    """The ten best documents of each benchmark text, from a stored index of two segments."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), served.temporary(spark)
+    for part in (0, 1):
+        served.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part), "doc_id", "text", path)
+    found, _ = served.Served(spark, path).search(table(spark, sf_dir, "benchmark"), "item_id", "text", 10)
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
 def normalize_vec(spark, sf_dir):
     v = V.doubles(F.col("embedding"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(v), 5).alias("norm"), F.round(F.get(V.unit(v), F.lit(0)), 5).alias("first"))
@@ -128,9 +137,8 @@ def _encoded(spark, sf_dir):
 
 def _fused(spark, sf_dir):
     docs, asks = _encoded(spark, sf_dir)
-    similar = search.dense(asks, docs, "item_id", "qv", "doc_id", "v")
-    sparse = search.bm25(search.lexical_index(docs, "doc_id", "text"), asks, "item_id", "q")
-    return search.fused(similar, sparse, 50), docs, asks
+    pool = fusion.hybrid(docs, asks, id_col="doc_id", text_col="text", vec_col="v", query_id="item_id", query_text="q", query_vec="qv", pool=50)
+    return settle(pool), docs, asks
 
 
 def hybrid_rrf(spark, sf_dir):
@@ -175,7 +183,7 @@ def index_manifest(spark, sf_dir):
     return m.select(F.col("version").cast("bigint").alias("version"), "encoder", "n_chunks", F.col("embed_dim").cast("bigint").alias("embed_dim"), "dataset")
 
 
-QUERIES = {f.__name__: f for f in (scan_documents, normalize_docs, sample_docs, sections, chunk_docs, corpus_stats, corpus_build, shingles, neardup_pairs, dedup_keep, tokenize, bm25_index, bm25_search, normalize_vec, dense_topk, redundancy_filter, hybrid_rrf, rerank, hybrid_search, litm_order, context_block, index_manifest)}
+QUERIES = {f.__name__: f for f in (scan_documents, normalize_docs, sample_docs, sections, chunk_docs, corpus_stats, corpus_build, shingles, neardup_pairs, dedup_keep, tokenize, bm25_index, bm25_search, served_search, normalize_vec, dense_topk, redundancy_filter, hybrid_rrf, rerank, hybrid_search, litm_order, context_block, index_manifest)}
 
 _TERMS, _WORDS, _STRIP = sql.terms, sql.words, sql.stripped
 
@@ -269,6 +277,7 @@ ORACLES = {
     "tokenize": f"SELECT doc_id, len({_TERMS('text')}) AS n_terms, len(list_distinct({_TERMS('text')})) AS n_distinct FROM documents",
     "bm25_index": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM ts",
     "bm25_search": f"WITH {_BM25} SELECT query AS item_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id DESC) - 1 AS rank, id AS doc_id, round(score, 4) AS score FROM bm QUALIFY rank < 10",
+    "served_search": f"WITH {_BM25} SELECT query AS item_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id DESC) - 1 AS rank, id AS doc_id, round(score, 4) AS score FROM bm QUALIFY rank < 10",
     "normalize_vec": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(v, v)), 5) AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 5) AS first FROM e",
     "dense_topk": f"WITH {_CENTRE} SELECT label, rank, id AS vec_id, round(score, 4) AS score FROM ranked WHERE rank < 10",
     "redundancy_filter": f"""WITH RECURSIVE {_CENTRE},

@@ -1,9 +1,10 @@
 """Incremental ingest: files arrive, chunks that repeat none kept before are appended.
 
 Each micro-batch is deduplicated in itself in arrival order (batch, then ordinal) and
-against the signatures of everything kept so far; "first kept wins" therefore holds over
-the whole stream. A batch is written under its own number, so a batch that is run again
-after a failure replaces what it wrote.
+against everything kept so far; "first kept wins" therefore holds over the whole stream.
+What was kept lies in a stored inverted index (see `kept`), of which a batch reads the
+buckets of its own shingles only. A batch is written under its own number, so a batch that
+is run again after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -14,36 +15,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fathomline.operators import dedup, ingest
-from fathomline.sources.readers import existing
 from fathomline.sources.store import settle
-
-
-def repeats_kept(new: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
-    """(ord) of new signatures that are as similar as the threshold to a kept one, over shared shingles.
-
-    new: (ord, set); kept: (set). Kept sets are exploded as stored; only shingles of the
-    batch can join.
-    """
-    tokens = new.select("ord", F.size("set").alias("n"), F.explode("set").alias("s"))
-    old = kept.select(F.xxhash64("set").alias("k"), F.size("set").alias("m"), F.explode("set").alias("s"))
-    near = (F.col("n") >= F.col("m") * threshold - 1e-9) & (F.col("m") >= F.col("n") * threshold - 1e-9)
-    both = tokens.join(old, "s").where(near).groupBy("ord", "n", "k", "m").agg(F.count("*").alias("c"))
-    return both.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= threshold).select("ord").distinct()
+from fathomline.streaming.kept import KeptIndex
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, id_col: str, text_col: str, threshold: float = 0.85, window: int = 256, overlap: int = 32) -> None:
-    """Chunk one micro-batch and append what is new: tables chunks and signatures under out, a folder for each batch."""
-    spark = batch.sparkSession
+    """Chunk one micro-batch and append what is new: table chunks under out, a folder for each batch, and the index of what was kept."""
     pieces = ingest.chunks(batch.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", window, overlap)
     ordered = settle(pieces.withColumn("ord", F.struct("doc", "chunk_idx")))
     sigs = settle(dedup.signatures(ordered, "ord", "chunk_text"))
-    before = existing(spark, [f"{out}/signatures/batch={i}" for i in range(batch_id)])
-    fresh = sigs
-    if before:
-        fresh = settle(sigs.join(repeats_kept(sigs, spark.read.parquet(*before), threshold), "ord", "left_anti"))
+    index = KeptIndex(batch.sparkSession, f"{out}/kept", threshold)
+    index.open(batch_id, sigs)
+    fresh = settle(sigs.join(index.repeats(sigs), "ord", "left_anti"))
     kept = settle(dedup.accepted_signatures(fresh, threshold).where("kept").select("ord"))
     ordered.join(kept, "ord", "left_semi").select("doc", "chunk_idx", "chunk_text", "token_count").write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
-    sigs.join(kept, "ord", "left_semi").select("set").write.mode("overwrite").parquet(f"{out}/signatures/batch={batch_id}")
+    index.add(sigs.join(kept, "ord", "left_semi").select("set"))
 
 
 def start(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, id_col: str, text_col: str, files: int = 1, **options) -> StreamingQuery:
