@@ -18,12 +18,13 @@ from fathomline.llm.quality import quality
 from fathomline.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A row's number: where it lies in the stage's input, which is a written table.
+#: A row's number: where it lay when it was written together with its number.
 ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """The rows with numbers in their order, written once: a later scan that is split otherwise reads the same numbers."""
+    return settle(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
