@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from fathomline.functions.stemming import stem
 from fathomline.functions.text import harmonic, ratio, runs, terms, words
-from fathomline.functions.vectors import dot
+from fathomline.sources.store import settle
 
 
 def set_scores(predicted: Column, gold: Column, empty_is_perfect: bool = True) -> Column:
@@ -28,11 +32,35 @@ def set_differences(predicted: Column, gold: Column) -> Column:
     return F.struct(F.array_intersect(predicted, gold).alias("hits"), F.array_except(predicted, gold).alias("false_positives"), F.array_except(gold, predicted).alias("false_negatives"))
 
 
-def ngram_overlap(pairs: DataFrame, key: list[str], candidate: str, reference: str, n: int) -> DataFrame:
-    """key, precision, recall, f1 of clipped n-gram overlap without stemming; 0 where a side has none."""
+@F.pandas_udf(ST.StringType())
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(stem)
+
+
+def stemmed(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """df with the text columns as arrays of stemmed terms; terms of up to three letters stay. key tells rows apart.
+
+    Each distinct term is stemmed once and joined back. Short terms, which are the commonest,
+    are in no join.
+    """
+    listed = F.inline(F.array(*(F.struct(F.lit(c).alias("side"), terms(F.col(c)).alias("terms")) for c in columns)))
+    each = df.select(*key, listed).select(*key, "side", F.posexplode("terms").alias("pos", "term"))
+    long = each.where(F.length("term") > 3)
+    stems = settle(long.select("term").distinct().select("term", _stems("term").alias("stem")))
+    both = each.where(F.length("term") <= 3).union(long.join(stems, "term").select(*key, "side", "pos", F.col("stem").alias("term")))
+    made = both.groupBy(*key).agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == c, F.struct("pos", "term")))), lambda x: x["term"]).alias(c) for c in columns))
+    none = F.array().cast("array<string>")
+    return df.drop(*columns).join(made, key, "left").withColumns({c: F.coalesce(c, none) for c in columns})
+
+
+def ngram_overlap(pairs: DataFrame, key: list[str], candidate: str, reference: str, n: int, stem_terms: bool = False) -> DataFrame:
+    """key, precision, recall, f1 of clipped n-gram overlap, of stems if asked; 0 where a side has none."""
+    if stem_terms:
+        pairs = stemmed(pairs.select(*key, candidate, reference), key, [candidate, reference])
+    listed = (lambda c: F.col(c)) if stem_terms else (lambda c: terms(F.col(c)))
 
     def grams(text: str) -> DataFrame:
-        return pairs.select(*key, F.explode(runs(terms(F.col(text)), n)).alias("gram")).groupBy(*key, "gram").count()
+        return pairs.select(*key, F.explode(runs(listed(text), n)).alias("gram")).groupBy(*key, "gram").count()
 
     both = grams(candidate).withColumnRenamed("count", "c").join(grams(reference).withColumnRenamed("count", "r"), [*key, "gram"], "full")
     zero = F.lit(0).cast("bigint")
@@ -56,7 +84,7 @@ def _common_length(a: list[str], b: list[str]) -> int:
 
 
 def subsequence_f1(candidate: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of terms, in Arrow batches."""
+    """F1 of the longest common subsequence of two arrays of terms, in Arrow batches."""
 
     @F.pandas_udf("double")
     def f1(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -67,19 +95,43 @@ def subsequence_f1(candidate: Column, reference: Column) -> Column:
                 out.append(2.0 * hit / (len(c) + len(r)) if hit else 0.0)
             yield pd.Series(out, dtype="float64")
 
-    return f1(terms(candidate), terms(reference))
+    return f1(candidate, reference)
+
+
+#: Rows of one text's token vectors that are multiplied at once with all of the other's.
+MATCHED_AT_ONCE = 1024
 
 
 def greedy_match(tokens: DataFrame, pairs: DataFrame, text: str, vec: str) -> DataFrame:
     """(candidate, reference, precision, recall, f1): each token vector takes its best partner in the other text.
 
-    tokens: (text, vec) rows; pairs: (candidate, reference) texts. Tokens meet only within a pair.
+    tokens: (text, vec) rows; pairs: (candidate, reference) texts. A text's vectors are one
+    array, and a pair is a product of two matrices, in blocks, so no row is made for a pair
+    of tokens. Pairs with a text that has no tokens are left out.
     """
-    side = lambda c: tokens.select(F.col(text).alias(c), F.monotonically_increasing_id().alias(f"{c}_t"), F.col(vec).alias(f"{c}_v"))
-    key = ["candidate", "reference"]
-    met = pairs.join(side("candidate"), "candidate").join(side("reference"), "reference").withColumn("sim", dot(F.col("candidate_v"), F.col("reference_v")))
-    best = lambda c, name: met.groupBy(*key, f"{c}_t").agg(F.max("sim").alias("m")).groupBy(*key).agg(F.avg("m").alias(name))
-    out = best("candidate", "precision").join(best("reference", "recall"), key)
+    whole = tokens.where(F.col(vec).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.collect_list(F.col(vec).cast("array<double>")).alias("rows"))
+    side = lambda c: whole.select(F.col("text").alias(c), F.col("rows").alias(f"{c}_rows"))
+
+    def matrices(column: pa.Array) -> Iterator[np.ndarray]:
+        for rows in column:
+            yield np.array(rows.values.flatten().to_numpy(zero_copy_only=False)).reshape(len(rows.values), -1)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            precision, recall = [], []
+            for a, b in zip(matrices(batch.column(2)), matrices(batch.column(3)), strict=True):
+                best_a, best_b = [], np.full(len(b), -np.inf)
+                for i in range(0, len(a), MATCHED_AT_ONCE):
+                    similar = a[i : i + MATCHED_AT_ONCE] @ b.T
+                    best_a.append(similar.max(axis=1))
+                    np.maximum(best_b, similar.max(axis=0), out=best_b)
+                precision.append(float(np.concatenate(best_a).mean()))
+                recall.append(float(best_b.mean()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(precision, pa.float64()), pa.array(recall, pa.float64())], ["candidate", "reference", "precision", "recall"])
+
+    met = pairs.select("candidate", "reference").join(side("candidate"), "candidate").join(side("reference"), "reference").select("candidate", "reference", "candidate_rows", "reference_rows")
+    kinds = [pairs.schema[c] for c in ("candidate", "reference")]
+    out = met.mapInArrow(match, ST.StructType([*kinds, ST.StructField("precision", ST.DoubleType()), ST.StructField("recall", ST.DoubleType())]))
     return out.withColumn("f1", harmonic(F.col("precision"), F.col("recall")))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import words
+from fathomline.functions.text import PLACEHOLDER, fixed, mean_interval, sign, words
 
 
 def pivoted(scores: DataFrame, row: str, cls: str, classes: Sequence[str], value: str) -> DataFrame:
@@ -90,3 +90,37 @@ def checks(results: Sequence[DataFrame]) -> DataFrame:
 def assertion(df: DataFrame, name: str, bad: Column, fatal: bool = True) -> DataFrame:
     """(name, n_bad, fatal): how many rows break a rule."""
     return df.agg(F.count_if(bad).alias("n_bad")).select(F.lit(name).alias("name"), "n_bad", F.lit(fatal).alias("fatal"))
+
+
+#: What stands in a report for a figure that a condition can't have.
+UNDEFINED = "---"
+
+
+def qa_rows(registry: DataFrame, summary: DataFrame, fields: Sequence[str], grounded: Sequence[str] = (), percent: Sequence[str] = ()) -> DataFrame:
+    """condition and a cell "mean [low, high]" for each field, in a row for each condition of the registry.
+
+    registry: (condition, has_context); summary: condition with <field>_mean, _low and _high.
+    Fields in grounded are undefined for conditions without context; what was not run has
+    placeholders.
+    """
+
+    def cell(field: str) -> Column:
+        shown = mean_interval(F.col(f"{field}_mean"), F.col(f"{field}_low"), F.col(f"{field}_high"), percent=field in percent)
+        blank = ~F.col("has_context") & F.col("__ran").isNotNull() & F.lit(field in grounded)
+        return F.when(blank, UNDEFINED).otherwise(shown).alias(field)
+
+    return registry.join(summary.withColumn("__ran", F.lit(True)), "condition", "left").select("condition", *(cell(f) for f in fields))
+
+
+def contrast_rows(native: DataFrame, constrained: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """key, kind (native, constrained, delta) and a cell with three places for each value; a side that lacks a key has placeholders.
+
+    The delta is constrained minus native, with its sign; a missing side counts as 0 in it,
+    unless both are missing.
+    """
+    both = deltas(native, constrained, key, values)
+    side = lambda kind, s: F.struct(F.lit(kind).alias("kind"), *(fixed(F.col(f"{v}_{s}"), 3).alias(v) for v in values))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    change = lambda v: zero(F.col(f"{v}_b")) - zero(F.col(f"{v}_a"))
+    delta = F.struct(F.lit("delta").alias("kind"), *(F.when(F.coalesce(f"{v}_a", f"{v}_b").isNotNull(), F.concat(sign(change(v)), fixed(change(v), 3))).otherwise(PLACEHOLDER).alias(v) for v in values))
+    return both.select(key, F.inline(F.array(side("native", "a"), side("constrained", "b"), delta)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,6 +142,20 @@ def best_outside(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("position", F.when(F.col("rank") % 2 == 0, half).otherwise(n - 1 - half).cast("bigint"))
 
 
+def in_order(ranked: DataFrame) -> DataFrame:
+    """position (from 0) that leaves the hits in their order."""
+    return ranked.withColumn("position", F.col("rank").cast("bigint"))
+
+
+def loaded(load: Callable[[], Callable[[Column, Column], Column]]) -> Callable[[Column, Column], Column] | None:
+    """The scorer that load() makes; none, with a warning, where it can't, so that a search ranks by the dense score."""
+    try:
+        return load()
+    except Exception as error:
+        warnings.warn(f"no reranking: {error}", stacklevel=2)
+        return None
+
+
 def context(hits: DataFrame, queries: DataFrame, query_id: str, text_col: str, doc_col: str, retrieval: bool = True) -> DataFrame:
     """(query, context): numbered hits by position, a blank line between; a fixed sentence where there are none."""
     if not retrieval:

@@ -10,6 +10,15 @@ from fathomline.functions.text import json_array, json_object, sentences, stripp
 #: Labels of the two verdict schemes, mildest first.
 LABELS3 = ("supported", "partial", "unsupported")
 LABELS4 = ("supported", "weak_entailment", "citation_noncompliance", "unsupported")
+#: Verifier modes and their labels.
+MODES = {"standard": LABELS3, "split-partial": LABELS4}
+
+
+def labels_of(mode: str) -> tuple[str, ...]:
+    """The labels of a verifier mode; an unknown one is an error."""
+    if mode not in MODES:
+        raise ValueError(f"unknown verifier mode {mode}")
+    return MODES[mode]
 
 
 def majority(votes: DataFrame, key: list[str], entails: str = "is_entail") -> DataFrame:
@@ -18,10 +27,15 @@ def majority(votes: DataFrame, key: list[str], entails: str = "is_entail") -> Da
     return votes.groupBy(*key).agg(F.count("*").alias("n_votes"), (yes > F.floor(F.count("*") / 2)).alias("supported"))
 
 
-def representative(pairs: DataFrame, key: list[str]) -> DataFrame:
-    """key, supported, chunk_pos, n_chunks: the first supporting chunk of a claim, else the one at the smallest position."""
-    first = F.min(F.when(F.col("supported"), F.col("chunk_pos")))
-    return pairs.groupBy(*key).agg(F.bool_or("supported").alias("supported"), F.coalesce(first, F.min("chunk_pos")).alias("chunk_pos"), F.count("*").alias("n_chunks"))
+def representative(pairs: DataFrame, key: list[str], score: str | None = None) -> DataFrame:
+    """key, supported, chunk_pos, n_chunks: the first supporting chunk of a claim, else the one at the smallest position.
+
+    score: a single model's degree of support, where there are no votes; then it is the chunk
+    of the highest score, whether it supports the claim or not, and of equal ones the first.
+    """
+    first = F.coalesce(F.min(F.when(F.col("supported"), F.col("chunk_pos"))), F.min("chunk_pos"))
+    best = first if score is None else F.min(F.struct((-F.col(score)).alias("s"), F.col("chunk_pos").alias("p")))["p"]
+    return pairs.groupBy(*key).agg(F.bool_or("supported").alias("supported"), best.alias("chunk_pos"), F.count("*").alias("n_chunks"))
 
 
 def unsupported_rate(queries: DataFrame, claims: DataFrame, judged: DataFrame, query: str = "query", referenced: DataFrame | None = None) -> DataFrame:
@@ -61,9 +75,10 @@ def claims_of(text: Column, extracted: Column | None = None) -> Column:
 def verdict(raw: Column, labels: tuple[str, ...] = LABELS3) -> Column:
     """struct(n_claims, n_<label>..., overall, worst_claims) of a verifier's JSON answer.
 
-    Labels are read in lower case; worst_claims are the texts of the claims with the worst one. Unknown labels and an unknown overall count as the worst. An overall of the worst that no
-    claim bears is softened to the middle label if a claim bears one, else to the best.
-    Malformed answers and null claims have no claims and the worst overall.
+    Labels are read in lower case; worst_claims are the texts of the claims with the worst one.
+    Unknown labels and an unknown overall count as the worst. With three labels an overall of
+    the worst that no claim bears is softened to the middle label if a claim bears one, else
+    to the best; with four it stands. Malformed answers and null claims have no claims and the worst overall.
     """
     parsed = F.from_json(json_object(raw), "claims array<struct<text:string,label:string>>, overall string")
     worst, middle = labels[-1], labels[1:-1]
@@ -74,7 +89,7 @@ def verdict(raw: Column, labels: tuple[str, ...] = LABELS3) -> Column:
     some_middle = F.exists(claims, lambda x: x.isin(*middle))
     overall = known(parsed["overall"])
     softened = F.when(some_middle, F.lit(middle[0])).otherwise(F.lit(labels[0]))
-    final = F.when((overall == worst) & (F.size(claims) > 0) & ~F.array_contains(claims, worst), softened).otherwise(F.coalesce(overall, F.lit(worst)))
+    final = F.coalesce(overall, F.lit(worst)) if len(middle) > 1 else F.when((overall == worst) & (F.size(claims) > 0) & ~F.array_contains(claims, worst), softened).otherwise(F.coalesce(overall, F.lit(worst)))
     return F.struct(F.size(claims).cast("bigint").alias("n_claims"), *(count(label).alias(f"n_{label}") for label in labels), final.alias("overall"), F.coalesce(texts, F.array().cast("array<string>")).alias("worst_claims"))
 
 

@@ -83,12 +83,16 @@ def _claims(spark, sf_dir) -> DataFrame:
     return c.select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("claim", "sentence")).withColumn("query", F.col("conv_id") * 1000 + F.col("turn"))
 
 
-def _votes(spark, sf_dir) -> DataFrame:
+def _shares(spark, sf_dir) -> DataFrame:
     chunks = table(spark, sf_dir, "conversations").where("role <> 'assistant'").select("conv_id", F.col("turn").alias("chunk_pos"), F.array_distinct(T.terms(F.col("text"))).alias("held"))
     pairs = _claims(spark, sf_dir).select("query", "conv_id", F.col("claim").cast("bigint").alias("claim"), F.array_distinct(T.terms(F.col("sentence"))).alias("said")).join(chunks, "conv_id")
     share = F.size(F.array_intersect("said", "held")) / F.greatest(F.size("said"), F.lit(1))
+    return pairs.select("query", "claim", "chunk_pos", share.alias("share"))
+
+
+def _votes(spark, sf_dir) -> DataFrame:
     models = F.explode(F.array(*(F.struct(F.lit(i).alias("model"), F.lit(least).alias("least")) for i, least in enumerate((0.2, 0.3, 0.5)))))
-    return pairs.select("query", "claim", "chunk_pos", share.alias("share"), models.alias("m")).select("query", "claim", "chunk_pos", "m.model", (F.col("share") >= F.col("m.least")).alias("is_entail"))
+    return _shares(spark, sf_dir).select("query", "claim", "chunk_pos", "share", models.alias("m")).select("query", "claim", "chunk_pos", "m.model", (F.col("share") >= F.col("m.least")).alias("is_entail"))
 
 
 def nli_vote(spark, sf_dir):
@@ -125,16 +129,22 @@ def _turns(spark, sf_dir) -> DataFrame:
     return c.withColumn("before", F.coalesce(metrics.previous(c, "conv_id", "turn", "text"), F.lit(""))).where("role = 'assistant'").select("conv_id", "turn", "text", "before")
 
 
-def _rouge(n):
+def _rouge(n, stem_terms=False):
     def query(spark, sf_dir):
-        out = metrics.ngram_overlap(_turns(spark, sf_dir), ["conv_id", "turn"], "text", "before", n)
+        out = metrics.ngram_overlap(_turns(spark, sf_dir), ["conv_id", "turn"], "text", "before", n, stem_terms)
         return out.select("conv_id", "turn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
     return query
 
 
 def rouge_l(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(metrics.subsequence_f1(F.col("text"), F.col("before")), 6).alias("f1"))
+    both = metrics.subsequence_f1(T.terms(F.col("text")), T.terms(F.col("before")))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(both, 6).alias("f1"))
+
+
+def rouge_l_stemmed(spark, sf_dir):
+    listed = metrics.stemmed(_turns(spark, sf_dir), ["conv_id", "turn"], ["text", "before"])
+    return listed.select("conv_id", "turn", F.round(metrics.subsequence_f1(F.col("text"), F.col("before")), 6).alias("f1"))
 
 
 def greedy_match_f1(spark, sf_dir):
@@ -357,8 +367,8 @@ def dq_checks(spark, sf_dir):
     ])
 
 
-QUERIES = {f.__name__: f for f in (sentence_split, truncate_words, json_extract, keyword_parse, parse_rate, verdict_parse, label_dist, poison_context, nli_vote, claim_pairs, hallucination_ctx, hallucination_ref, rouge_l, greedy_match_f1, keyword_misses, keyword_micro, keyword_agg, keyword_pivot, latency_summary, gen_length, track_summary, track_rollup, delta_report, score_quantiles, minmax_norm, running_min_frontier, score_fact, bootstrap_ci, paired_bootstrap, permutation_test, pairwise_report, report_qa, contrast_table, qa_aggregate, formatted_scores, length_scatter, nested_keywords, track_filter, run_plan, dq_checks)}
-QUERIES |= {"rouge1": _rouge(1), "rouge2": _rouge(2), "keyword_prf": keyword_prf, "keyword_prf_strict": _prf(False)}
+QUERIES = {f.__name__: f for f in (sentence_split, truncate_words, json_extract, keyword_parse, parse_rate, verdict_parse, label_dist, poison_context, nli_vote, claim_pairs, hallucination_ctx, hallucination_ref, rouge_l, rouge_l_stemmed, greedy_match_f1, keyword_misses, keyword_micro, keyword_agg, keyword_pivot, latency_summary, gen_length, track_summary, track_rollup, delta_report, score_quantiles, minmax_norm, running_min_frontier, score_fact, bootstrap_ci, paired_bootstrap, permutation_test, pairwise_report, report_qa, contrast_table, qa_aggregate, formatted_scores, length_scatter, nested_keywords, track_filter, run_plan, dq_checks)}
+QUERIES |= {"rouge1": _rouge(1), "rouge2": _rouge(2), "rouge1_stemmed": _rouge(1, True), "rouge2_stemmed": _rouge(2, True), "keyword_prf": keyword_prf, "keyword_prf_strict": _prf(False)}
 
 _TERMS, _WORDS, _SENT = sql.terms, sql.words, sql.sentences
 
@@ -448,6 +458,12 @@ ORACLES = {
       SELECT query, CASE WHEN conv_id IS NULL THEN 0 ELSE n_claims END AS n_claims, CASE WHEN conv_id IS NULL THEN 0 ELSE n_unsupported END AS n_unsupported, CASE WHEN conv_id IS NULL THEN NULL ELSE rate END AS rate FROM r LEFT JOIN known ON conv_id = query // 1000""",
     "rouge1": _rouge_sql(1),
     "rouge2": _rouge_sql(2),
+    "rouge_l": f"""WITH {_TURNS}, w AS (SELECT conv_id, turn, {_TERMS('text')} AS a, {_TERMS('before')} AS b FROM turns),
+      l AS (SELECT conv_id, turn, len(a) + len(b) AS n, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_reduce(
+        list_transform(a, lambda x: list_transform(b, lambda y: (y = x)::INT)),
+        lambda row, hit: list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j::INT]), lambda made, j: list_append(made, greatest(made[j[1]], row[j[1] + 1], row[j[1]] + hit[j[1]])), [0]::INT[]),
+        list_transform(range(len(b) + 1), lambda j: 0::INT))[-1] END AS hit FROM w)
+      SELECT conv_id, turn, CASE WHEN hit = 0 THEN 0 ELSE round(2.0::DOUBLE * hit / n, 6) END AS f1 FROM l""",
     "greedy_match_f1": """WITH t AS MATERIALIZED (SELECT vec_id // 8 AS text, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
       met AS MATERIALIZED (SELECT c.text AS candidate, r.text AS reference, c.vec_id AS a, r.vec_id AS b, list_inner_product(c.v, r.v) AS sim FROM t c JOIN t r ON r.text = c.text + 1),
       p AS (SELECT candidate, reference, avg(m) AS p FROM (SELECT candidate, reference, a, max(sim) AS m FROM met GROUP BY ALL) GROUP BY ALL), q AS (SELECT candidate, reference, avg(m) AS r FROM (SELECT candidate, reference, b, max(sim) AS m FROM met GROUP BY ALL) GROUP BY ALL)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +43,7 @@ def read_results(spark: SparkSession, paths: Sequence[str], schema: T.StructType
 
 
 def write_result(examples: DataFrame, aggregate: DataFrame, path: str) -> None:
-    """A result document: JSON lines of all examples and of the aggregate, in two folders under path."""
+    """A result of any size as JSON lines of all examples and of the aggregate, in two folders; `documents` writes one document a condition."""
     examples.write.mode("overwrite").json(f"{path}/per_example")
     aggregate.write.mode("overwrite").json(f"{path}/aggregate")
 
@@ -70,6 +71,26 @@ def planned(runs: DataFrame, outputs: DataFrame, phases: Sequence[int], key: str
     return chosen.join(there, key, "left").withColumn("status", F.when(skip, "skip").otherwise(F.lit("dry" if dry_run else "run"))).drop("__there")
 
 
+def executed(plan: DataFrame, run: Callable[[Row], None], label: str = "label") -> DataFrame:
+    """(label, outcome) of a catalogue with status, as `planned` makes it: the due runs are run one by one, in the order of phase and label.
+
+    outcome: ok, failed (the run raised an error; the others go on), skip or dry. A catalogue
+    holds a row for each run that someone wrote down, and the driver starts them.
+    """
+    found = []
+    for row in plan.orderBy("phase", label).collect():
+        outcome = row.status
+        if outcome == "run":
+            try:
+                run(row)
+                outcome = "ok"
+            except Exception as error:
+                warnings.warn(f"{row[label]}: {error}", stacklevel=2)
+                outcome = "failed"
+        found.append((row[label], outcome))
+    return plan.sparkSession.createDataFrame(found, T.StructType([plan.schema[label], T.StructField("outcome", T.StringType())]))
+
+
 def pending(runs: DataFrame, outputs: DataFrame, key: str = "output", force: bool = False) -> DataFrame:
     """Catalogued runs whose output is not there yet; all of them with force."""
     return runs if force else runs.join(outputs, key, "left_anti")

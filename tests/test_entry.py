@@ -17,9 +17,9 @@ def _values(frame):
 
 
 def _names():
-    from fathomline.plans import evaluation, retrieval
+    from fathomline.plans import answers, evaluation, retrieval
 
-    return sorted({**retrieval.ORACLES, **evaluation.ORACLES})
+    return sorted({**retrieval.ORACLES, **evaluation.ORACLES, **answers.ORACLES})
 
 
 @pytest.mark.parametrize("name", _names())
