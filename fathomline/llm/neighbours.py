@@ -7,6 +7,10 @@ of all tables are merged and ranked by their exact distance in double precision.
 in units of the vectors' own spread, and queries whose probes find fewer than k candidates
 are compared with all vectors.
 
+How many tables, functions and probes, and how wide the cells, depends on the vectors: some
+queries are searched exactly, in one scan, and of a few settings the one with the fewest
+candidates that finds enough of their true neighbours is taken.
+
 Buckets and the probes that visit them meet in groups of bounded size: a bucket with many
 vectors or many visitors is dealt in blocks, so no bucket is ever in one task as a whole.
 """
@@ -38,6 +42,13 @@ class Hashing:
     visitors: int = 4096
 
 
+#: Settings that are tried, and the recall that one must reach on the queries searched exactly.
+SETTINGS = tuple(Hashing(tables=t, functions=f, width=w, probes=p) for t, f, w, p in ((4, 12, 1.0, 60), (8, 12, 1.0, 60), (8, 10, 1.0, 60), (8, 12, 1.5, 100), (4, 10, 1.5, 60), (8, 10, 1.5, 100), (8, 10, 2.0, 100), (8, 8, 2.0, 60), (4, 8, 2.0, 60), (4, 6, 2.0, 60)))
+ENOUGH = 0.95
+#: Most queries that are searched exactly, and most vectors and numbers of the sample that tells how many candidates a setting has.
+FIT_QUERIES, FIT_ROWS, FIT_NUMBERS = 96, 4096, 1 << 22
+
+
 def directions(h: Hashing, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Projections (dims x tables*functions) and offsets."""
     rng = np.random.default_rng(h.seed)
@@ -93,6 +104,90 @@ def spread(vectors: DataFrame, dims: int) -> float:
     return next((float(x) for x in vectors.agg(F.percentile_approx(away, 0.5), F.avg(away)).first() if x), 1.0)
 
 
+def placed(vectors: np.ndarray, how: Hashing, unit: float) -> np.ndarray:
+    """Where vectors lie, in cells, under every function of every table."""
+    a, b = directions(how, vectors.shape[1])
+    return (vectors / unit @ a + b) / how.width
+
+
+def probed(at: np.ndarray, how: Hashing, table: int, probes: int) -> np.ndarray:
+    """Buckets (vectors x up to probes) that vectors at these places visit in a table, their own first; a short list repeats its own."""
+    mine = slice(table * how.functions, (table + 1) * how.functions)
+    cells = np.floor(at[:, mine]).astype(np.int64)
+    near = np.repeat(cells[:, None], probes, axis=1)
+    for i in range(len(cells) if probes > 1 else 0):
+        for j, steps in enumerate(probe_sets(at[i, mine] - cells[i], probes)):
+            for f, step in steps:
+                near[i, j, f] += step
+    return _bucket(table, near.reshape(-1, how.functions)).reshape(len(cells), probes)
+
+
+def exact(own: DataFrame, ids: list, vectors: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest rows of (id, vec) of each vector but the one with its id, in one scan: (vector, neighbour, component), nan where there are fewer."""
+    sent, dims = own.sparkSession.sparkContext.broadcast((np.array(ids), vectors)), vectors.shape[1]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, aims = sent.value
+        far, best = np.full((len(aims), k), np.inf), np.zeros((len(aims), k, dims))
+        for batch in batches:
+            rows, mine = _matrix(batch.column(1), dims), batch.column(0).to_numpy(zero_copy_only=False)
+            away = (aims**2).sum(1)[:, None] + (rows**2).sum(1)[None] - 2 * aims @ rows.T
+            away[asked[:, None] == mine[None]] = np.inf
+            order = np.argsort(away, axis=1)[:, :k]
+            both = np.concatenate([far, np.take_along_axis(away, order, axis=1)], axis=1)
+            keep = np.argsort(both, axis=1)[:, :k]
+            best = np.take_along_axis(np.concatenate([best, rows[order]], axis=1), keep[:, :, None], axis=1)
+            far = np.take_along_axis(both, keep, axis=1)
+        q, j = np.nonzero(np.isfinite(far))
+        yield pa.record_batch([pa.array(q), pa.array(far[q, j]), pa.array(list(best[q, j]), pa.list_(pa.float64()))], ["q", "away", "vec"])
+
+    place = F.row_number().over(Window.partitionBy("q").orderBy("away"))
+    found = own.mapInArrow(scan, "q long, away double, vec array<double>").withColumn("place", place).where(F.col("place") <= k).collect()  # k rows a vector
+    out = np.full((len(vectors), k, dims), np.nan)
+    for r in found:
+        out[r.q, r.place - 1] = r.vec
+    return out
+
+
+def fitted(own: DataFrame, ask: DataFrame, dims: int, unit: float, k: int) -> Hashing:
+    """The one of SETTINGS with the fewest candidates that finds ENOUGH of the true neighbours, or the one that finds most.
+
+    Neighbours are those of up to FIT_QUERIES of the queries, drawn by hashed id and searched
+    exactly among all rows; candidates are counted on a sample of the rows, which FIT_ROWS and
+    FIT_NUMBERS bound. So the recall on other queries is an estimate from some hundred
+    neighbours, while the index itself holds every row.
+    """
+    rows = max(1, min(FIT_ROWS, FIT_NUMBERS // dims))
+
+    def drawn(df: DataFrame, most: int) -> list:
+        step = -(-df.count() // most) if most else 1
+        some = df.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(max(step, 1))) == 0) if step > 1 else df
+        return some.orderBy(F.xxhash64(F.lit(8), "id")).limit(most).collect()
+
+    asked, sample = drawn(ask.distinct(), max(1, min(FIT_QUERIES, FIT_NUMBERS // (dims * (k + 1))))), drawn(own, rows)
+    if not asked or not sample:
+        return Hashing()
+    aims, others = (np.array([r.vec for r in found], np.float64) for found in (asked, sample))
+    near = exact(own, [r.id for r in asked], aims, k)
+    known = ~np.isnan(near[:, :, 0])
+    best = None
+    for how in SETTINGS:
+        at = [placed(x, how, unit) for x in (aims, np.nan_to_num(near).reshape(-1, dims), others)]
+        hit, met = np.zeros(known.shape, bool), np.zeros((len(aims), len(others)), bool)
+        for t in range(how.tables):
+            visits = probed(at[0], how, t, how.probes)
+            homes = probed(at[1], how, t, 1).reshape(known.shape)
+            rest = probed(at[2], how, t, 1)[:, 0]
+            for i in range(len(aims)):
+                hit[i] |= np.isin(homes[i], visits[i])
+                met[i] |= np.isin(rest, visits[i])
+        recall, share = (hit & known).sum() / max(known.sum(), 1), met.mean()
+        rank = (recall >= ENOUGH, -share if recall >= ENOUGH else recall)
+        if best is None or rank > best[0]:
+            best = rank, how
+    return best[1]
+
+
 def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, how: Hashing | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found among the rows of df for each row of queries.
 
@@ -101,9 +196,9 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     than most take no part, nor do rows without id. Ties go to smaller ids. Equal vectors
     are searched once: of each only the k + 1 smallest ids are candidates, as no query can
     rank more. Repeated rows count once; other columns are not read; an empty frame on
-    either side gives no rows.
+    either side gives no rows. Without how the parameters are fitted to the vectors, see
+    `fitted`.
     """
-    how = how or Hashing()
     own = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id is not null").where(usable("vec"))
     ask = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("id is not null").where(usable("vec"))
     most = own.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
@@ -112,30 +207,15 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
     alike = Window.partitionBy("vec").orderBy("id")
     own = settle(own.distinct().withColumn("place", F.row_number().over(alike)).where(F.col("place") <= k + 1).drop("place"))
     unit = spread(own, dims)
+    how = how or fitted(own, ask, dims, unit, k)
 
     def hashed(batches: Iterator[pa.RecordBatch], probes: int) -> Iterator[pa.RecordBatch]:
-        a, b = directions(how, dims)
         for batch in batches:
-            at = (_matrix(batch.column(1), dims) / unit @ a + b) / how.width
-            cells = np.floor(at).astype(np.int64)
-            keys, rows = [], []
-            for t in range(how.tables):
-                mine = slice(t * how.functions, (t + 1) * how.functions)
-                if probes == 1:
-                    keys.append(_bucket(t, cells[:, mine]))
-                    rows.append(np.arange(len(cells)))
-                    continue
-                for i in range(len(cells)):
-                    sets = probe_sets(at[i, mine] - cells[i, mine], probes)
-                    near = np.repeat(cells[i : i + 1, mine], len(sets), axis=0)
-                    for j, steps in enumerate(sets):
-                        for f, step in steps:
-                            near[j, f] += step
-                    keys.append(_bucket(t, near))
-                    rows.append(np.full(len(sets), i))
-            if keys and len(cells):
-                take = pa.array(np.concatenate(rows))
-                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(keys))], ["id", "vec", "bucket"])
+            at = placed(_matrix(batch.column(1), dims), how, unit)
+            keys = [probed(at, how, t, probes) for t in range(how.tables)]
+            new = [np.concatenate([np.ones((len(at), 1), bool), x[:, 1:] != x[:, :1]], axis=1) for x in keys]
+            take = pa.array(np.concatenate([np.nonzero(x)[0] for x in new]))
+            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([x[y] for x, y in zip(keys, new, strict=True)]))], ["id", "vec", "bucket"])
 
     kind = df.schema[id_col].dataType.simpleString()
     shape = f"id {kind}, vec array<double>, bucket long"

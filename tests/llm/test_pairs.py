@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fathomline.llm import neardup
+from fathomline.llm import neardup, neighbours
 from fathomline.llm.common import shingle_sets, span_hashes, utf8, word_spans
 from fathomline.llm.components import components
 from fathomline.llm.lmscore import backoff_scores
@@ -218,6 +218,37 @@ def test_neighbours_recall_with_production_parameters(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+def test_neighbours_of_clusters_have_few_candidates(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)] + 0.1 * rng.normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    own = df.selectExpr("vec_id AS id", "embedding AS vec")
+    unit = neighbours.spread(own, 64)
+    how = neighbours.fitted(own, own.where("id % 100 = 0"), 64, unit, 10)
+    at = neighbours.placed(v, how, unit)
+    met = np.zeros((60, 6000), bool)
+    for t in range(how.tables):
+        homes, visits = neighbours.probed(at, how, t, 1)[:, 0], neighbours.probed(at[::100], how, t, how.probes)
+        met |= (homes[None, None] == visits[:, :, None]).any(axis=1)
+    assert met.mean() < 0.05
+    away = np.linalg.norm(v[::100, None] - v[None], axis=2)
+    away[np.arange(60), np.arange(0, 6000, 100)] = np.inf
+    want = {100 * q: set(np.argsort(x)[:10].tolist()) for q, x in enumerate(away)}
+    hits = sum(r.vec_id in want[r.query_id] for r in nearest(df, df.where("vec_id % 100 = 0")).collect())
+    assert hits >= 0.9 * 600
+
+
+def test_exact_search_of_the_fitting_queries(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 3))
+    own = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").repartition(3)
+    near = neighbours.exact(own, [0, 7], v[[0, 7]], 5)
+    for q, got in zip((0, 7), near, strict=True):
+        order = [j for j in np.argsort(np.linalg.norm(v - v[q], axis=1)) if j != q][:5]
+        assert np.allclose(got, v[order])
+    assert np.isnan(neighbours.exact(own.limit(2), [0], v[[0]], 5)[0, 1:]).all()
+
+
 @pytest.mark.parametrize("norm", [0.01, 10.0])
 def test_neighbours_at_any_scale(spark, norm):
     rng = np.random.default_rng(4)
