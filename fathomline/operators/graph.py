@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.sources.store import settle
+from fathomline.sources.store import forget, settle
 
 #: Most edges of a component that one task folds; larger components are decided in rounds over the whole cluster.
 FOLDED_EDGES = 1 << 16
@@ -27,9 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lowest.select("u", F.col("m").alias("v")).union(large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = settle(small)
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
+        same = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        forget(now)
         now = after
+        if same:
+            break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -40,7 +42,9 @@ def _dropped_in_rounds(edges: DataFrame) -> DataFrame:
         of = state.select(F.col("id").alias("a"), F.col("kept").alias("ka"))
         earlier = edges.join(of, "a").groupBy("b").agg(F.bool_or(F.col("ka").eqNullSafe(True)).alias("hit"), F.bool_or(F.col("ka").isNull()).alias("open"))
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = settle(state.join(earlier, state["id"] == earlier["b"], "left").select("id", decided.alias("kept")))
+        after = settle(state.join(earlier, state["id"] == earlier["b"], "left").select("id", decided.alias("kept")))
+        forget(state)
+        state = after
     return state.where("NOT kept").select("id")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Version of the stored index's layout.
 INDEX_VERSION = 1
+#: Folders of the shared folder in which tables lie that were written to be read again.
+WRITTEN = ("settled", "tables")
 TABLES = ("chunks", "vectors", "postings", "term_stats", "corpus_stats")
 
 
@@ -32,6 +34,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(settled: DataFrame) -> None:
+    """Delete a table in the shared folder that nothing reads any more, such as the last round's of a loop."""
+    spark = settled.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in settled.inputFiles()}:
+        if folder.split("/")[-2] in WRITTEN:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save_index(tables: dict[str, DataFrame], path: str, encoder: str, **more: str) -> None:
     """Write the index tables and a one-row manifest; more keys cannot override its own."""
     for name in TABLES:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.operators import dedup
-from fathomline.sources.store import settle
+from fathomline.sources.store import forget, settle
 
 #: Folders of prefix and sets, and batches between two merges.
 BUCKETS, MERGE = 256, 16
@@ -73,6 +73,7 @@ class KeptIndex:
         for table, rows, key in (("prefix", prefix.select("s", "k", "n", "place"), "s"), ("sets", keyed, "k")):
             placed = rows.withColumn("bucket", bucket_of(key, self.buckets))
             placed.repartition("bucket").sortWithinPartitions("bucket", *rows.columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/{table}")
+        forget(keyed)
 
     def _prefixes(self, reps: DataFrame) -> DataFrame:
         known = self.spark.read.schema("s bigint, n bigint").parquet(f"{self.path}/base={self.base}/known").toArrow()  # at most KNOWN_SHINGLES rows

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import dedup, graph
+from fathomline.sources import store
 from fathomline.streaming import ingest as streaming
 from fathomline.streaming.kept import KeptIndex
 
@@ -140,3 +141,11 @@ def test_batch_reads_only_its_buckets(spark, tmp_path):
     assert touched < 5
     assert plan.count("PartitionFilters: [bucket") >= 1 or "PartitionFilters: [isnotnull(bucket" in plan
     assert index.repeats(sigs).count() == 0
+
+
+def test_rounds_leave_one_table_behind(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a int, b int")
+    folder = Path(store.shared_folder(spark).removeprefix("file:")) / "settled"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert graph.components(edges).count() == 31
+    assert len(set(folder.iterdir()) - before) == 1
