@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import settle
+from fathomline.sources.store import forget
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are matched as one literal list a row; longer lists belong in a table.
 MOST_RULES = 1000
 #: Mass that still moves after n rounds is at most DAMPING to the n, so SETTLED bounds the rounds.
 DAMPING, SETTLED = 0.85, 1e-9
+#: Rounds of the ranks that are written together.
+AT_ONCE = 4
 
 RULES = (
     ("block", "com/en/"),
@@ -79,12 +82,20 @@ def propagated(seeds: DataFrame, links: DataFrame) -> DataFrame:
     stay = start.select("host", *((F.col(c) * (1 - DAMPING)).alias(c) for c in ("trust", "distrust")))
     if edges.isEmpty():
         return stay
-    now = stay
-    for _ in range(math.ceil(math.log(SETTLED / 2) / math.log(DAMPING))):
-        moved = now.join(edges, now["host"] == edges["from"]).select(F.col("to").alias("host"), (F.col("trust") * F.col("t") * DAMPING).alias("trust"), (F.col("distrust") * F.col("d") * DAMPING).alias("distrust"))
-        then = settle(stay.union(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+
+    def moved(now: DataFrame) -> DataFrame:
+        sent = now.join(edges, now["host"] == edges["from"]).select(F.col("to").alias("host"), (F.col("trust") * F.col("t") * DAMPING).alias("trust"), (F.col("distrust") * F.col("d") * DAMPING).alias("distrust"))
+        return stay.union(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+
+    now = settle(stay)
+    for _ in range(math.ceil(math.log(SETTLED / 2) / math.log(DAMPING) / AT_ONCE)):
+        then = now
+        for _ in range(AT_ONCE):  # these joins share one shuffle of the edges
+            then = moved(then)
+        then = settle(then)
         change = F.abs(F.coalesce("a.trust", F.lit(0)) - F.coalesce("b.trust", F.lit(0))) + F.abs(F.coalesce("a.distrust", F.lit(0)) - F.coalesce("b.distrust", F.lit(0)))
         left = now.alias("a").join(then.alias("b"), F.col("a.host") == F.col("b.host"), "full").agg(F.sum(change).alias("c")).first().c
+        forget(now)
         now = then
         if (left or 0) < SETTLED:
             break
