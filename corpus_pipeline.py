@@ -24,7 +24,7 @@ ROW = "__row"
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The rows with numbers in their order, written once: a later scan that is split otherwise reads the same numbers."""
-    return settle(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()))
+    return settle(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), level=9)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
