@@ -64,8 +64,8 @@ def running(pieces):
         yield total
 
 
-def digest(df, most_sent=alignment.SENT_PAIRS):
-    table = with_row(aligned(df))
+def digest(df, most_sent=alignment.SENT_PAIRS, **bounds):
+    table = with_row(aligned(df, **bounds))
     sums = weighed(table.select("row", "links"), pair_counts(table), most_sent)
     full = table.join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"])
     sha = F.when(F.col("n_a") > 0, F.sha2("groups_text", 256)).otherwise(F.lit(""))
@@ -84,20 +84,11 @@ def test_odd_texts_match_the_libraries(spark, odd_rows):
     df = spark.createDataFrame([(*r, 0) for r in odd_rows], "doc_id long, text string, links int").repartition(3)
     want = brute(odd_rows)
     assert digest(df) == want
-    assert digest(df, most_sent=40) == want  # rare pairs by a shuffled join
-    assert digest(df, most_sent=0) == want
+    assert digest(df, most_sent=40, most_pieces=9) == want  # rare pairs by a shuffled join, rare pieces in each batch
+    assert digest(df, most_sent=0, most_pieces=0) == want
     assert digest(df.limit(0)) == []
 
 
-def test_pieces_are_remembered_only_so_many(spark, odd_rows, monkeypatch):
-    both = alignment.Pair(alignment.default_ranks(), alignment.default_pieces())
-    monkeypatch.setattr(alignment, "REMEMBERED", 5)
-    for _ in range(2):
-        for word in "a b c d e f g h i j".split():
-            assert both(word) == (both.first.encode_ordinary(" " + word), both.second.encode(word))
-    assert len(both.known) <= 5
-
-
 def test_long_text_without_seams(spark):
     rng = random.Random(6)
     rows = [(1, "".join(rng.choices("abc漢\n", k=30_000))), (2, "w " * 60_000)]
