@@ -12,6 +12,12 @@ from fathomline.sources.store import forget, settle
 FOLDED_EDGES = 1 << 16
 
 
+def _state(edges: DataFrame) -> tuple:
+    """What tells a table of (u, v) from another: its size and the sums of two hashes."""
+    sums = (F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(38,0)")) for i in (1, 2))
+    return tuple(edges.agg(F.count("*"), *sums).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of edges (a, b): every vertex with the smallest one that it can reach.
 
@@ -20,6 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     longest path. Only minima are aggregated, so a vertex of any degree is fine.
     """
     now = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = _state(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -27,10 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lowest.select("u", F.col("m").alias("v")).union(large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = settle(small)
-        same = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
         forget(now)
-        now = after
-        if same:
+        now, last, before = after, before, _state(after)
+        if before == last:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
